@@ -346,7 +346,7 @@ lists AS (
   FROM post_tags GROUP BY tag_name, post_id // 1000000)
 """
 TOP_20 = (
-    "SELECT tag_id, tag_name, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank "
+    "SELECT tag_id, tag_name, similarity, CAST(rank AS INTEGER) AS rank "
     "FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, tag_id) AS rank FROM ranking) "
     "WHERE rank <= 20"
 )
@@ -461,12 +461,12 @@ ORACLE: dict[str, str] = {
     "similar_tags_ranking": sql(
         *MODEL,
         ONE.format(name=lit(QUERY_TAG)),
-        "SELECT tag_id, tag_name, round(similarity, 6) AS similarity FROM ranking",
+        "SELECT tag_id, tag_name, similarity FROM ranking",
     ),
     "similar_tags_all": sql(
         *MODEL,
         COSINES,
-        "SELECT query_id, tag_id, round(similarity, 6) AS similarity, "
+        "SELECT query_id, tag_id, similarity, "
         "CAST(rank AS INTEGER) AS rank FROM (SELECT a AS query_id, b AS tag_id, similarity, "
         "row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM cosines) "
         "WHERE rank <= 20",
@@ -474,13 +474,13 @@ ORACLE: dict[str, str] = {
     "pairwise_cosine": sql(
         *MODEL,
         COSINES,
-        "SELECT a AS src, b AS dst, round(similarity, 6) AS similarity FROM cosines "
+        "SELECT a AS src, b AS dst, similarity FROM cosines "
         "WHERE a < b AND similarity > 0",
     ),
     "similarity_edges": sql(
         *MODEL,
         COSINES,
-        "SELECT a AS src, b AS dst, round(similarity, 6) AS weight FROM cosines "
+        "SELECT a AS src, b AS dst, similarity AS weight FROM cosines "
         f"WHERE a < b AND similarity >= {MIN_SIMILARITY}",
     ),
     "tag_graph": sql(
@@ -488,11 +488,11 @@ ORACLE: dict[str, str] = {
         COSINES,
         VERTICES,
         COMPLETE,
-        "SELECT src, name, dst, round(weight, 6) AS weight FROM edges JOIN vertices ON id = src",
+        "SELECT src, name, dst, weight FROM edges JOIN vertices ON id = src",
     ),
     "dangling_edges": sql(
         *GRAPH,
-        "SELECT src, dst, round(weight, 6) AS weight FROM edges "
+        "SELECT src, dst, weight FROM edges "
         "WHERE src NOT IN (SELECT id FROM vertices WHERE name LIKE '%-%') "
         "OR dst NOT IN (SELECT id FROM vertices WHERE name LIKE '%-%')",
     ),

@@ -1,6 +1,7 @@
 """One registered query per operator, each over the whole given tables.
 
-List columns are joined into strings and floats rounded, so that results compare by value.
+List columns are joined into strings and weights rounded, so that results compare by value;
+similarities are rounded by the operators themselves.
 """
 
 from __future__ import annotations
@@ -372,35 +373,31 @@ QUERIES["fit_tag_vectors"] = lambda spark, sf_dir: _rounded(
 @query
 def similar_tags(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return _rounded(
-        similarity.similar_tags(model.vectors, model.tags, QUERY_TAG), "similarity"
-    )
+    return similarity.similar_tags(model.vectors, model.tags, QUERY_TAG)
 
 
 @query
 def similar_tags_ranking(spark, sf_dir):
     model = _model(spark, sf_dir)
-    ranking = similarity.similar_tags(model.vectors, model.tags, QUERY_TAG, k=None)
-    return _rounded(ranking, "similarity")
+    return similarity.similar_tags(model.vectors, model.tags, QUERY_TAG, k=None)
 
 
 @query
 def similar_tags_all(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return _rounded(similarity.similar_tags_all(model.vectors, model.tags), "similarity")
+    return similarity.similar_tags_all(model.vectors, model.tags)
 
 
 @query
 def pairwise_cosine(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return _rounded(similarity.pairwise_cosine(model.vectors, model.tags), "similarity")
+    return similarity.pairwise_cosine(model.vectors, model.tags)
 
 
 @query
 def similarity_edges(spark, sf_dir):
     model = _model(spark, sf_dir)
-    edges = graph.similarity_edges(model.vectors, model.tags, MIN_SIMILARITY)
-    return _rounded(edges, "weight")
+    return graph.similarity_edges(model.vectors, model.tags, MIN_SIMILARITY)
 
 
 # Graph
@@ -416,16 +413,15 @@ def tag_graph(spark, sf_dir):
     """The complete graph over the default number of tags, as vertices with their edges."""
     model = _model(spark, sf_dir)
     complete = graph.tag_graph(model.vectors, model.tags, min_similarity=None)
-    edges = _rounded(complete.edges, "weight")
-    return complete.vertices.withColumnRenamed("id", "src").join(edges, "src")
+    return complete.vertices.withColumnRenamed("id", "src").join(complete.edges, "src")
 
 
 @query
 def dangling_edges(spark, sf_dir):
-    """Edges of the whole graph that leave its training vertices."""
+    """All edges, checked against vertices that lack the language tags: those dangle."""
     whole = _graph(spark, sf_dir)
     named = whole.vertices.filter(F.col("name").contains("-"))
-    return _rounded(graph.dangling_edges(graph.TagGraph(named, whole.edges)), "weight")
+    return graph.dangling_edges(graph.TagGraph(named, whole.edges))
 
 
 @query
@@ -488,6 +484,4 @@ def order_tag_vectors(spark, sf_dir):
 @query
 def order_similar_tags(spark, sf_dir):
     model = _order_model(spark, sf_dir)
-    return _rounded(
-        similarity.similar_tags(model.vectors, model.tags, ORDER_TAG), "similarity"
-    )
+    return similarity.similar_tags(model.vectors, model.tags, ORDER_TAG)

@@ -85,10 +85,10 @@ def similar_tags(
 
 
 def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int):
-    """Cogrouped ``(left, right)`` blocks, each unordered pair of blocks once.
+    """Tags grouped by ``(low_block, high_block)``, every unordered pair of blocks once.
 
-    A tag's entries are packed into one row, zero vectors included; a row goes to every block pair
-    its block takes part in, which is one more than the number of blocks.
+    A tag's entries are packed into one row, zero vectors included.  A row is sent to each pair its
+    block takes part in, so a group holds two blocks, or one where a block meets itself.
     """
     n_blocks = max(1, math.ceil(tags.count() / block_tags))
     entries = unit_vectors(vectors).groupBy("tag_id").agg(
@@ -96,23 +96,18 @@ def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int):
     )
     packed = tags.select("tag_id").join(entries, "tag_id", "left").select(
         "tag_id",
-        F.pmod(F.xxhash64("tag_id"), F.lit(n_blocks)).cast("int").alias("block"),
         F.coalesce(F.col("_entries.term_idx"), F.array().cast("array<int>")).alias("terms"),
         F.coalesce(F.col("_entries.weight"), F.array().cast("array<double>")).alias("weights"),
+        F.pmod(F.xxhash64("tag_id"), F.lit(n_blocks)).cast("int").alias("block"),
     )
-    columns = ("tag_id", "terms", "weights")
-    left = packed.select(
-        *columns,
-        F.col("block").alias("row_block"),
-        F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1))).alias("col_block"),
-    )
-    right = packed.select(
-        *columns,
-        F.explode(F.sequence(F.lit(0), F.col("block"))).alias("row_block"),
-        F.col("block").alias("col_block"),
+    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    return (
+        packed.withColumn("_other", others)
+        .withColumn("low_block", F.least("block", "_other"))
+        .withColumn("high_block", F.greatest("block", "_other"))
+        .drop("_other")
+        .groupBy("low_block", "high_block")
     )
-    key = ("row_block", "col_block")
-    return left.groupBy(*key).cogroup(right.groupBy(*key))
 
 
 def _dense(block: pa.Table, width: int) -> np.ndarray:
@@ -127,13 +122,17 @@ def _dense(block: pa.Table, width: int) -> np.ndarray:
     return out
 
 
-def _product(left: pa.Table, right: pa.Table):
-    """Tag ids of both blocks, rising, and the matrix of their cosines."""
-    left, right = left.sort_by("tag_id"), right.sort_by("tag_id")
-    tops = [t.column("terms").combine_chunks().flatten() for t in (left, right)]
-    width = 1 + max(int(t.to_numpy().max()) if len(t) else 0 for t in tops)
-    cosines = np.round(_dense(left, width) @ _dense(right, width).T, DIGITS)
-    return left.column("tag_id").to_numpy(), right.column("tag_id").to_numpy(), cosines
+def _product(key, group: pa.Table):
+    """Tag ids of the low and the high block, rising, the matrix of their cosines, and whether
+    both are the same block."""
+    low, high = key[0].as_py(), key[1].as_py()
+    group = group.sort_by("tag_id")
+    top = group.column("terms").combine_chunks().flatten().to_numpy()
+    dense = _dense(group, 1 + int(top.max()) if len(top) else 1)
+    ids, block = group.column("tag_id").to_numpy(), group.column("block").to_numpy()
+    left, right = block == low, block == high
+    cosines = np.round(dense[left] @ dense[right].T, DIGITS)
+    return ids[left], ids[right], cosines, low == high
 
 
 def cosine_pairs(
@@ -148,11 +147,9 @@ def cosine_pairs(
     does, those with similarity 0 too: a complete matrix, so bound the number of tags first.
     """
 
-    def pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"src": [], "dst": [], "similarity": []}, schema=arrow_schema)
-        ids_l, ids_r, cosines = _product(left, right)
-        if key[0].as_py() == key[1].as_py():
+    def pairs(key, group):
+        ids_l, ids_r, cosines, same = _product(key, group)
+        if same:
             wanted = ids_l[:, None] < ids_r[None, :]
         else:
             wanted = np.ones(cosines.shape, dtype=bool)
@@ -203,12 +200,10 @@ def similar_tags_all(
         query = np.repeat(queries, top.shape[1])
         return query, others[top].ravel(), np.take_along_axis(cosines, top, axis=1).ravel()
 
-    def candidates(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"query_id": [], "tag_id": [], "similarity": []}, schema=arrow_schema)
-        ids_l, ids_r, cosines = _product(left, right)
+    def candidates(key, group):
+        ids_l, ids_r, cosines, same = _product(key, group)
         found = [best(ids_l, ids_r, cosines)]
-        if key[0].as_py() != key[1].as_py():
+        if not same:
             found.append(best(ids_r, ids_l, cosines.T))
         query, tag, similarity = (np.concatenate(part) for part in zip(*found))
         real = similarity >= 0
