@@ -17,9 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return read_table(spark, f"{sf_dir}/{name}.parquet", columns=columns)
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    labels = table(spark, sf_dir, "labels", ["doc_id", "quality"])
     pair = F.concat_ws("-", "lang", "source")
     untagged = F.col("doc_id") % 50
     tags = (
@@ -28,23 +27,29 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 40 == 3, F.concat_ws("|", pair, F.col("lang"), pair))
         .otherwise(F.concat_ws("|", pair, F.col("lang")))
     )
-    return documents.join(labels, "doc_id", "left").select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("body"),
         tags.alias("tags"),
         F.lit(None).cast("bigint").alias("parent_id"),
-        F.coalesce("quality", F.lit(0)).alias("score"),
     )
 
 
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    scores = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("score"))
+    scored = _document_posts(spark, sf_dir).join(scores, "id", "left")
+    return scored.withColumn("score", F.coalesce("score", F.lit(0)))
+
+
 def tag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tag in use and some that are not; those ending in ``-src0`` are left out.
 
     An id is taken from the name's digest, so no global numbering is needed.
     """
     used = (
-        explode_tags(posts(spark, sf_dir).filter(F.col("tags") != ""))
+        explode_tags(_document_posts(spark, sf_dir).filter(F.col("tags") != ""))
         .groupBy("tag_name")
         .agg(F.count("*").alias("count"))
     )

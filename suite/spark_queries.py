@@ -251,8 +251,8 @@ def preprocess_text(spark, sf_dir):
 
 def _document_totals(spark, sf_dir) -> DataFrame:
     documents = _document_text(spark, sf_dir, TF.clean_text)
-    tokenized = terms.tokenize(documents.withColumnRenamed("doc_id", "post_id"), "text")
-    return terms.term_totals(tokenized)
+    words = terms.with_words(documents.withColumnRenamed("doc_id", "post_id"), "text")
+    return terms.term_totals(terms.tokenize(words))
 
 
 @query
@@ -282,7 +282,7 @@ def lemma_terms(spark, sf_dir):
 
 def _documents(spark, sf_dir) -> DataFrame:
     documents = fixture.table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return documents.select(F.col("doc_id").alias("post_id"), F.col("text").alias("body"))
+    return terms.with_words(documents.withColumnRenamed("doc_id", "post_id"), "text")
 
 
 @query
@@ -297,13 +297,16 @@ def term_freq(spark, sf_dir):
 
 @query
 def vocabulary(spark, sf_dir):
+    return terms.vocabulary(terms.term_totals(terms.tokenize(_training_words(spark, sf_dir))))
+
+
+def _training_words(spark, sf_dir) -> DataFrame:
     corpus = posts.training_posts(_post_text(spark, sf_dir))
-    return terms.vocabulary(terms.term_totals(terms.tokenize(corpus)))
+    return terms.with_words(corpus.select("post_id", "body"))
 
 
 def _corpus_posts(spark, sf_dir) -> DataFrame:
-    corpus = posts.training_posts(_post_text(spark, sf_dir))
-    return stage(corpus.select("post_id", "body"), "training_posts")
+    return stage(_training_words(spark, sf_dir), "training_posts")
 
 
 @query

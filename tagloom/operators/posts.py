@@ -53,13 +53,19 @@ def nonblank_text(text: DataFrame) -> DataFrame:
 def preprocess_text(
     text: DataFrame, stop_words: Sequence[str] | None = None, stem: bool = False
 ) -> DataFrame:
-    """Drop untitled rows and clean title and body, optionally stemming every word in place."""
+    """Drop untitled rows and clean title and body, optionally stemming every word in place.
+
+    The cleaned pair comes out of an ``inline`` of one struct.  A later filter on cleaned text
+    would otherwise be pushed below the projection and clean every row a second time.
+    """
 
     def cleaned(name: str):
         out = clean_text(F.col(name), stop_words)
-        return stem_text(out) if stem else out
+        return (stem_text(out) if stem else out).alias(name)
 
-    return drop_untitled(text).withColumns({c: cleaned(c) for c in ("body", "title")})
+    rest = [c for c in text.columns if c not in ("title", "body")]
+    pair = F.inline(F.array(F.struct(cleaned("title"), cleaned("body"))))
+    return drop_untitled(text).select(*rest, pair).select(*text.columns)
 
 
 def training_posts(

@@ -9,9 +9,14 @@ from tagloom.functions.cleaning import tokens
 from tagloom.functions.stemming import stem_word
 
 
-def tokenize(posts: DataFrame, column: str = "body") -> DataFrame:
-    """``(post_id, term)``, one row per token."""
-    return posts.select("post_id", F.explode(tokens(F.col(column))).alias("term"))
+def with_words(posts: DataFrame, column: str = "body") -> DataFrame:
+    """Replace a text column by ``words``, the array of its tokens."""
+    return posts.withColumn("words", tokens(F.col(column))).drop(column)
+
+
+def tokenize(posts: DataFrame) -> DataFrame:
+    """``(post_id, term)``, one row per element of ``words``."""
+    return posts.select("post_id", F.explode("words").alias("term"))
 
 
 def term_frequencies(tokenized: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.cleaning import tokens
 from tagloom.operators.joins import salted_join
 from tagloom.operators.terms import normal_forms, term_totals, tokenize, vocabulary
 from tagloom.sources.staging import stage
@@ -46,7 +45,7 @@ def fit_vocabulary(
     stem: bool = False,
     lemmas: DataFrame | None = None,
 ) -> Vocabulary:
-    """Choose the most frequent terms of ``posts.body``.
+    """Choose the most frequent terms of ``posts.words``.
 
     With ``stem`` or ``lemmas`` the corpus is still counted by surface word, and the counts are
     added up per normal form.
@@ -92,15 +91,15 @@ def _count_words(df: DataFrame, words: Column, known: Sequence[str], out: str) -
 
 
 def count_vectors(posts: DataFrame, vocab: Vocabulary, max_forms: int = MAX_FORMS) -> DataFrame:
-    """Replace ``body`` by ``term_idx`` and ``value``, the counts of the vocabulary terms.
+    """Replace ``words`` by ``term_idx`` and ``value``, the counts of the vocabulary terms.
 
     Every post stays, with empty arrays if it has no known term.
     """
-    keep = [c for c in posts.columns if c != "body"]
+    keep = [c for c in posts.columns if c != "words"]
     if not vocab.terms:
         empty = [F.array().cast("array<int>"), F.array().cast("array<double>")]
         return posts.select(*keep, empty[0].alias("term_idx"), empty[1].alias("value"))
-    words = tokens(F.col("body"))
+    words = F.col("words")
     if vocab.forms is not None:
         found = vocab.forms.limit(max_forms + 1).collect()
         if len(found) > max_forms:

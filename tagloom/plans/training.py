@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.posts import build_post_text, training_posts
 from tagloom.operators.tags import split_tags, used_tags
+from tagloom.operators.terms import with_words
 from tagloom.operators.vectors import (
     FEATURE_SIZE,
     Vocabulary,
@@ -51,9 +52,10 @@ def fit_post_vectors(
     stem: bool = False,
     lemmas: DataFrame | None = None,
 ) -> PostModel:
-    """Unit-length TF-IDF vectors of ``posts.body``; other columns are carried along.
+    """Unit-length TF-IDF vectors of ``posts.words``; other columns are carried along.
 
-    ``posts`` is read three times, so stage it if its rows are costly.
+    ``posts`` is read once for each of totals, document frequencies and vectors, so stage it if
+    its rows are costly.
     """
     vocab = fit_vocabulary(posts, feature_size, stem, lemmas)
     counted = count_vectors(posts, vocab)
@@ -77,11 +79,11 @@ def fit_tag_vectors(
     """
     text = build_post_text(corpus.posts, corpus.excerpts, corpus.wikis, carry=["tags"])
     cleaned = training_posts(text, score, stop_words, max_posts)
-    posts = stage(cleaned.select("post_id", "tags", "body"), "training_posts")
+    posts = stage(with_words(cleaned.select("post_id", "tags", "body")), "training_posts")
     model = fit_post_vectors(posts, feature_size, stem, lemmas)
     tagged = model.posts.withColumn("tag_name", F.explode(split_tags(F.col("tags"))))
     sums = sum_by_tag(tagged, "tag_name")
     dim = corpus.tags.select(F.col("id").alias("tag_id"), "tag_name")
     means = stage(mean_by_tag(sums.join(dim, "tag_name")), "tag_means")
-    tags = coverage(used_tags(corpus.posts, corpus.tags), means)
+    tags = stage(coverage(used_tags(corpus.posts, corpus.tags), means), "tags")
     return TagModel(tags, vectors_of(means), model.vocabulary)
