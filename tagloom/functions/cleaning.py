@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.binding import let
 from tagloom.functions.wordlists import (
     C1_CONTROLS,
     C1_READ_AS,
@@ -46,34 +47,34 @@ MARKUP = (
 REFERENCE = r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9.-]*)"
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` so that ``body`` may read it several times and it is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _decode_reference(piece: Column, names: Column) -> Column:
     """``piece`` is what followed one ``&``; give back what the reader would see."""
-    ref = F.regexp_extract(piece, REFERENCE, 0)
-    rest = F.regexp_replace(F.substring(piece, F.length(ref) + 1, F.length(piece)), "^;", "")
-    is_hex = ref.rlike("^#[xX]")
-    digits = F.ltrim(F.regexp_replace(ref, "^#[xX]?", ""), F.lit("0"))
-    short = F.when(F.length(digits) <= F.when(is_hex, 6).otherwise(7), digits).otherwise("")
-    number = F.concat(F.lit("0"), short)
-    code = F.when(is_hex, F.conv(number, 16, 10)).otherwise(number).cast("int")
-    valid = (
-        (F.length(digits) == F.length(short))
-        & (code <= 0x10FFFF)
-        & ~code.between(0xD800, 0xDFFF)
-    )
-    char = F.translate(
-        F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), C1_CONTROLS, C1_READ_AS
-    )
-    named = F.element_at(names, ref)
-    return (
-        F.when(ref == "", F.concat(F.lit("&"), piece))
-        .when(ref.startswith("#"), F.concat(F.when(valid, char).otherwise("�"), rest))
-        .otherwise(F.concat(F.coalesce(named, F.concat(F.lit("&"), ref)), rest))
-    )
+
+    def numeric(ref: Column) -> Column:
+        is_hex = ref.rlike("^#[xX]")
+        digits = F.ltrim(F.regexp_replace(ref, "^#[xX]?", ""), F.lit("0"))
+        number = F.concat(F.lit("0"), digits)
+        code = F.when(is_hex, F.conv(number, 16, 10)).otherwise(number).cast("int")
+        # No code point has more than six hexadecimal or seven decimal digits.
+        in_range = F.length(digits) <= F.when(is_hex, 6).otherwise(7)
+        return F.when(in_range, let(code, character)).otherwise("\ufffd")
+
+    def character(code: Column) -> Column:
+        text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.translate(text, C1_CONTROLS, C1_READ_AS)).otherwise("\ufffd")
+
+    def decoded(ref: Column) -> Column:
+        after = F.substring(piece, F.length(ref) + 1, F.length(piece))
+        rest = F.when(after.startswith(";"), F.substring(after, 2, 2**30)).otherwise(after)
+        named = F.coalesce(F.element_at(names, ref), F.concat(F.lit("&"), ref))
+        return (
+            F.when(ref == "", F.concat(F.lit("&"), piece))
+            .when(ref.startswith("#"), F.concat(numeric(ref), rest))
+            .otherwise(F.concat(named, rest))
+        )
+
+    return let(F.regexp_extract(piece, REFERENCE, 0), decoded)
 
 
 def decode_entities(text: Column, entities: Mapping[str, str] | None = None) -> Column:
@@ -86,7 +87,7 @@ def decode_entities(text: Column, entities: Mapping[str, str] | None = None) ->
     names = F.from_json(F.lit(json.dumps(dict(table))), "map<string,string>")
 
     def decode(bare: Column) -> Column:
-        return _let(
+        return let(
             F.split(bare, "&"),
             lambda pieces: F.concat(
                 F.element_at(pieces, 1),
@@ -100,7 +101,7 @@ def decode_entities(text: Column, entities: Mapping[str, str] | None = None) ->
             ),
         )
 
-    return _let(
+    return let(
         text, lambda bare: F.when(F.contains(bare, F.lit("&")), decode(bare)).otherwise(bare)
     )
 

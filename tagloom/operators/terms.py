@@ -15,8 +15,14 @@ def with_words(posts: DataFrame, column: str = "body") -> DataFrame:
 
 
 def tokenize(posts: DataFrame) -> DataFrame:
-    """``(post_id, term)``, one row per element of ``words``."""
-    return posts.select("post_id", F.explode("words").alias("term"))
+    """``(post_id, term)``, one row per element of ``words``.
+
+    The outer form and the filter after it give the rows of a plain explode.  A plain explode also
+    makes the optimizer test the array's size below the projection, which computes words that are
+    not staged a second time.
+    """
+    exploded = posts.select("post_id", F.explode_outer("words").alias("term"))
+    return exploded.filter(F.col("term").isNotNull())
 
 
 def term_frequencies(tokenized: DataFrame) -> DataFrame:
@@ -37,7 +43,16 @@ def normal_forms(
     ``terms`` holds distinct terms, so each is stemmed once however often it occurs.  ``lemmas``
     is a ``(term, lemma)`` table with one row per term.
     """
-    out = terms.withColumn("normal", stem_word(F.col("term")) if stem else F.col("term"))
+    if stem:
+        # Stemming costs far more per byte than a shuffle, and the few bytes of a term list would
+        # be read by few tasks.  A fixed number of partitions keeps every core at work.  The stem
+        # comes out of an explode, because a filter on a projected stem would be pushed down and
+        # stem every term again, on the far side of the repartitioning.
+        tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        stem_once = F.explode(F.array(stem_word(F.col("term")))).alias("normal")
+        out = terms.repartition(tasks, "term").select("*", stem_once)
+    else:
+        out = terms.withColumn("normal", F.col("term"))
     if lemmas is None:
         return out
     table = lemmas.select(F.col("term").alias("normal"), "lemma")

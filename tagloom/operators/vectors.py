@@ -15,6 +15,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.binding import let
 from tagloom.operators.joins import salted_join
 from tagloom.operators.terms import normal_forms, term_totals, tokenize, vocabulary
 from tagloom.sources.staging import stage
@@ -176,10 +177,8 @@ def tfidf(counted: DataFrame, idf: Sequence[float]) -> DataFrame:
 def unit_length(weighted: DataFrame) -> DataFrame:
     """Divide each vector by its Euclidean length; an empty vector stays empty."""
     squares = F.aggregate("value", F.lit(0.0), lambda acc, v: acc + v * v)
-    return (
-        weighted.withColumn("_length", F.sqrt(squares))
-        .withColumn("value", F.transform("value", lambda v: v / F.col("_length")))
-        .drop("_length")
+    return weighted.withColumn(
+        "value", let(F.sqrt(squares), lambda length: F.transform("value", lambda v: v / length))
     )
 
 
