@@ -251,7 +251,9 @@ def preprocess_text(spark, sf_dir):
 
 def _document_totals(spark, sf_dir) -> DataFrame:
     documents = _document_text(spark, sf_dir, TF.clean_text)
-    words = terms.with_words(documents.withColumnRenamed("doc_id", "post_id"), "text")
+    words = terms.with_words(
+        documents.withColumnRenamed("doc_id", "post_id"), "text", cleaned=True
+    )
     return terms.term_totals(terms.tokenize(words))
 
 
@@ -302,7 +304,7 @@ def vocabulary(spark, sf_dir):
 
 def _training_words(spark, sf_dir) -> DataFrame:
     corpus = posts.training_posts(_post_text(spark, sf_dir))
-    return terms.with_words(corpus.select("post_id", "body"))
+    return terms.with_words(corpus.select("post_id", "body"), cleaned=True)
 
 
 def _corpus_posts(spark, sf_dir) -> DataFrame:

@@ -1,6 +1,7 @@
 from tagloom.functions.cleaning import (
     ascii_fold,
     clean_text,
+    clean_tokens,
     decode_entities,
     drop_stopwords,
     kept_words,
@@ -19,6 +20,7 @@ __all__ = [
     "HTML_ENTITIES",
     "ascii_fold",
     "clean_text",
+    "clean_tokens",
     "decode_entities",
     "drop_stopwords",
     "kept_words",

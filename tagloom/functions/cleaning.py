@@ -26,6 +26,9 @@ from tagloom.functions.wordlists import (
 # dialects disagree on vertical tab and on the four separator controls.
 SPACES = r"\x09-\x0d\x1c-\x20"
 
+# Characters that folding turns into spaces, and the control characters that it leaves alone.
+NON_ASCII = r"\x80-\x{10FFFF}"
+CONTROLS = r"[\x00-\x08\x0e-\x1b\x7f]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 
 # One left-to-right pass over everything that is not text.  The alternatives start at the same
@@ -141,10 +144,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
+def _kept_words(text: Column, stop_words: Sequence[str] | None, separators: str) -> Column:
+    stops = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words) + [""]
+    return F.filter(F.split(text, f"[{separators}]+"), lambda w: ~w.isin(stops))
+
+
 def kept_words(text: Column, stop_words: Sequence[str] | None = None) -> Column:
     """The words that are not stop words, in order."""
-    stops = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words) + [""]
-    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: ~w.isin(stops))
+    return _kept_words(text, stop_words, SPACES)
 
 
 def drop_stopwords(text: Column, stop_words: Sequence[str] | None = None) -> Column:
@@ -158,10 +165,30 @@ def normalize_text(text: Column) -> Column:
 
 
 def clean_text(text: Column, stop_words: Sequence[str] | None = None) -> Column:
-    """Markup to normalised, space-separated words without stop words."""
-    return drop_stopwords(strip_urls(normalize_text(strip_markup(text))), stop_words)
+    """Markup to normalised, space-separated words without stop words.
+
+    Gives what the single stages give one after the other.  The folding of non-ASCII characters to
+    spaces has no pass of its own: URLs end at them and words are split at them.
+    """
+    bare = strip_punctuation(F.lower(F.trim(strip_markup(text))))
+    without_urls = F.regexp_replace(bare, f"http[^{SPACES}{NON_ASCII}]+", "")
+    return F.array_join(_kept_words(without_urls, stop_words, SPACES + NON_ASCII), " ")
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of two or more ASCII letters or digits."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+
+
+def clean_tokens(cleaned: Column) -> Column:
+    """``tokens`` of a text that ``clean_text`` made.
+
+    Its words hold letters, digits and, rarely, control characters.  Without the latter the words
+    of two or more characters are the tokens, and a plain split finds them.
+    """
+
+    def split(text: Column) -> Column:
+        plain = F.filter(F.split(text, " "), lambda w: F.length(w) >= 2)
+        return F.when(text.rlike(CONTROLS), tokens(text)).otherwise(plain)
+
+    return let(cleaned, split)

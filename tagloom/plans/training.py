@@ -54,11 +54,12 @@ def fit_post_vectors(
 ) -> PostModel:
     """Unit-length TF-IDF vectors of ``posts.words``; other columns are carried along.
 
-    ``posts`` is read once for each of totals, document frequencies and vectors, so stage it if
-    its rows are costly.
+    ``posts`` is read twice, for the totals and for the counts of the chosen terms, so stage it if
+    its rows are costly.  The counts, much smaller than the words, are staged here: document
+    frequencies and vectors both read them.
     """
     vocab = fit_vocabulary(posts, feature_size, stem, lemmas)
-    counted = count_vectors(posts, vocab)
+    counted = stage(count_vectors(posts, vocab), "counts")
     idf = smooth_idf(counted, vocab)
     return PostModel(unit_length(tfidf(counted, idf)), idf, vocab)
 
@@ -79,7 +80,7 @@ def fit_tag_vectors(
     """
     text = build_post_text(corpus.posts, corpus.excerpts, corpus.wikis, carry=["tags"])
     cleaned = training_posts(text, score, stop_words, max_posts)
-    posts = stage(with_words(cleaned.select("post_id", "tags", "body")), "training_posts")
+    posts = stage(with_words(cleaned.select("post_id", "tags", "body"), cleaned=True), "training_posts")
     model = fit_post_vectors(posts, feature_size, stem, lemmas)
     tagged = model.posts.withColumn("tag_name", F.explode(split_tags(F.col("tags"))))
     sums = sum_by_tag(tagged, "tag_name")

@@ -77,6 +77,8 @@ TEXTS = [
     "  spaced \t out\n\nlines \x0b\x0c and \x1c\x1d\x1e\x1f controls\x00 ",
     "The",
     "naïve café №5 İstanbul K",
+    "http\u00e9x httpé y the\x01 \x02and a\x7fb ab\x03cd e\x04",
+    "\u00a0padded\u2003text\u00a0",
     "a_b-c/d e.g. 3.14",
     "",
 ]
@@ -87,6 +89,17 @@ def test_clean_text_matches_plain_python(spark):
     assert got == [reference_clean(t) for t in TEXTS]
 
 
+def test_clean_text_is_its_stages_and_clean_tokens_its_tokens(spark):
+    def stages(c):
+        return TF.drop_stopwords(TF.strip_urls(TF.normalize_text(TF.strip_markup(c))))
+
+    texts = TEXTS + [t for t, _ in MARKUP]
+    for one, two in apply(spark, texts, TF.clean_text, stages):
+        assert one == two
+    got = apply(spark, texts, lambda c: TF.clean_tokens(TF.clean_text(c)))
+    assert got == apply(spark, texts, lambda c: TF.tokens(TF.clean_text(c)))
+
+
 def test_clean_text_has_no_markup_case_or_foreign_characters(spark):
     for (text,) in apply(spark, TEXTS + [t for t, _ in MARKUP], TF.clean_text):
         assert not set(text) & set(string.punctuation + string.ascii_uppercase)
