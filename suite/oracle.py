@@ -463,6 +463,14 @@ ORACLE: dict[str, str] = {
         ONE.format(name=lit(QUERY_TAG)),
         "SELECT tag_id, tag_name, similarity FROM ranking",
     ),
+    "similar_tags_from_store": sql(
+        *MODEL,
+        ONE.format(name=lit(QUERY_TAG)).replace(
+            "LEFT JOIN dots USING (tag_id))",
+            f"LEFT JOIN dots USING (tag_id) WHERE u.tag_name <> {lit(QUERY_TAG)})",
+        ),
+        TOP_20,
+    ),
     "similar_tags_all": sql(
         *MODEL,
         COSINES,

@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 from suite import fixture
 from tagloom import functions as TF
 from tagloom.operators import graph, posts, similarity, tags, terms, vectors
-from tagloom.plans import TagModel, detect_communities, fit_post_vectors, fit_tag_vectors, staged
+from tagloom.plans import (
+    TagModel,
+    detect_communities,
+    fit_post_vectors,
+    fit_tag_vectors,
+    load_model,
+    save_model,
+    staged,
+)
 from tagloom.sources import (
     cap_rows,
     load_tag_dim,
@@ -357,7 +365,7 @@ def _model(spark, sf_dir) -> TagModel:
 
 @query
 def stemmed_vocabulary(spark, sf_dir):
-    return _model(spark, sf_dir).vocabulary.table
+    return _model(spark, sf_dir).terms
 
 
 @query
@@ -387,6 +395,14 @@ def similar_tags_ranking(spark, sf_dir):
     return similarity.similar_tags(model.vectors, model.tags, QUERY_TAG, k=None)
 
 
+@query
+def similar_tags_from_store(spark, sf_dir):
+    path = new_location(spark, "model")
+    save_model(_model(spark, sf_dir), path)
+    model = load_model(spark, path)
+    return similarity.similar_tags(model.vectors, model.tags, QUERY_TAG, include_self=False)
+
+
 @query
 def similar_tags_all(spark, sf_dir):
     model = _model(spark, sf_dir)

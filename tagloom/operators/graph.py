@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.joins import is_small, lookup_join
-from tagloom.operators.similarity import BLOCK_TAGS, cosine_pairs
+from tagloom.operators.similarity import BLOCK_TAGS, TAG_COUNT, cosine_pairs, first_tags
 from tagloom.sources.staging import cut_lineage
 
-TAG_COUNT = 2000
 MIN_SIMILARITY = 0.8
 
 
@@ -80,7 +79,7 @@ def tag_graph(
         raise ValueError("the complete graph has n * n edges: give tag_count or min_similarity")
     chosen = tags.select("tag_id", "tag_name")
     if tag_count is not None:
-        chosen = chosen.orderBy("tag_id").limit(tag_count)
+        chosen = first_tags(chosen, tag_count)
         vectors = vectors.join(chosen.select("tag_id"), "tag_id", "left_semi")
     if min_similarity is None:
         edges = complete_edges(vectors, chosen, block_tags)

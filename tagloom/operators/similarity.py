@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 9
 BLOCK_TAGS = 1024
+TAG_COUNT = 2000
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -170,11 +171,25 @@ def cosine_pairs(
     )
 
 
+def first_tags(tags: DataFrame, tag_count: int) -> DataFrame:
+    """The first ``tag_count`` tags by id."""
+    return tags.orderBy("tag_id").limit(tag_count)
+
+
 def pairwise_cosine(
-    vectors: DataFrame, tags: DataFrame, block_tags: int = BLOCK_TAGS
+    vectors: DataFrame,
+    tags: DataFrame,
+    tag_count: int = TAG_COUNT,
+    block_tags: int = BLOCK_TAGS,
 ) -> DataFrame:
-    """The cosine matrix in sparse form: the pairs ``src < dst`` whose similarity is not 0."""
-    return cosine_pairs(vectors, tags, min_similarity=0.5 * 10**-DIGITS, block_tags=block_tags)
+    """The cosine matrix of the first ``tag_count`` tags in sparse form.
+
+    ``(src, dst, similarity)`` for the pairs ``src < dst`` whose similarity is not 0.  The matrix
+    grows with the square of ``tag_count``; for more tags ask for ``cosine_pairs`` above a minimum.
+    """
+    chosen = first_tags(tags, tag_count)
+    kept = vectors.join(chosen.select("tag_id"), "tag_id", "left_semi")
+    return cosine_pairs(kept, chosen, 0.5 * 10**-DIGITS, block_tags)
 
 
 def similar_tags_all(
@@ -194,14 +209,21 @@ def similar_tags_all(
     )
 
     def best(queries, others, cosines):
+        n = len(others)
+        # One integer per pair orders by similarity, then by position, which follows the id.
+        order = np.rint(cosines * 10**DIGITS).astype(np.int64) * n + np.arange(n)[::-1]
         if not include_self:
             cosines = np.where(queries[:, None] == others[None, :], -1.0, cosines)
-        top = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
-        query = np.repeat(queries, top.shape[1])
+            order = np.where(cosines < 0, -1, order)
+        kept = min(k, n)
+        top = np.argpartition(order, n - kept, axis=1)[:, n - kept :]
+        query = np.repeat(queries, kept)
         return query, others[top].ravel(), np.take_along_axis(cosines, top, axis=1).ravel()
 
     def candidates(key, group):
         ids_l, ids_r, cosines, same = _product(key, group)
+        if len(ids_l) == 0 or len(ids_r) == 0:
+            return arrow_schema.empty_table()
         found = [best(ids_l, ids_r, cosines)]
         if not same:
             found.append(best(ids_r, ids_l, cosines.T))

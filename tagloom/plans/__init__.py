@@ -1,5 +1,12 @@
 from tagloom.plans.communities import detect_communities, staged
-from tagloom.plans.training import PostModel, TagModel, fit_post_vectors, fit_tag_vectors
+from tagloom.plans.training import (
+    PostModel,
+    TagModel,
+    fit_post_vectors,
+    fit_tag_vectors,
+    load_model,
+    save_model,
+)
 
 __all__ = [
     "PostModel",
@@ -7,5 +14,7 @@ __all__ = [
     "detect_communities",
     "fit_post_vectors",
     "fit_tag_vectors",
+    "load_model",
+    "save_model",
     "staged",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators.posts import build_post_text, training_posts
@@ -25,16 +25,21 @@ from tagloom.operators.vectors import (
     vectors_of,
 )
 from tagloom.sources.staging import stage
+from tagloom.sources.store import load_vectors, save_vectors
 from tagloom.sources.tables import Corpus
 
+TAGS = "tag_id bigint, tag_name string, n_posts bigint"
+TERMS = "term string, total bigint, term_idx int"
+
 
 @dataclass(frozen=True)
 class TagModel:
-    """``tags (tag_id, tag_name, n_posts)``, ``vectors (tag_id, term_idx, weight)``, vocabulary."""
+    """``tags (tag_id, tag_name, n_posts)``, ``vectors (tag_id, term_idx, weight)`` and
+    ``terms (term, total, term_idx)``, the vocabulary."""
 
     tags: DataFrame
     vectors: DataFrame
-    vocabulary: Vocabulary
+    terms: DataFrame
 
 
 @dataclass(frozen=True)
@@ -87,4 +92,20 @@ def fit_tag_vectors(
     dim = corpus.tags.select(F.col("id").alias("tag_id"), "tag_name")
     means = stage(mean_by_tag(sums.join(dim, "tag_name")), "tag_means")
     tags = stage(coverage(used_tags(corpus.posts, corpus.tags), means), "tags")
-    return TagModel(tags, vectors_of(means), model.vocabulary)
+    return TagModel(tags, vectors_of(means), model.vocabulary.table)
+
+
+def save_model(model: TagModel, path: str, mode: str = "errorifexists") -> None:
+    """Write the three frames below ``path``, to be ranked or grouped later without training."""
+    save_vectors(model.vectors, f"{path}/vectors", mode)
+    model.tags.write.mode(mode).parquet(f"{path}/tags")
+    model.terms.write.mode(mode).parquet(f"{path}/terms")
+
+
+def load_model(spark: SparkSession, path: str) -> TagModel:
+    """The model that ``save_model`` wrote to ``path``."""
+    return TagModel(
+        spark.read.schema(TAGS).parquet(f"{path}/tags"),
+        load_vectors(spark, f"{path}/vectors"),
+        spark.read.schema(TERMS).parquet(f"{path}/terms"),
+    )

@@ -79,7 +79,7 @@ def test_all_pairs_in_blocks(spark, block_tags):
         return out
 
     assert got(S.cosine_pairs(vectors, tags, None, block_tags)) == pairs
-    assert got(S.pairwise_cosine(vectors, tags, block_tags)) == {
+    assert got(S.pairwise_cosine(vectors, tags, block_tags=block_tags)) == {
         p: s for p, s in pairs.items() if s > 0
     }
     assert got(S.cosine_pairs(vectors, tags, 0.5, block_tags)) == {
@@ -88,6 +88,13 @@ def test_all_pairs_in_blocks(spark, block_tags):
     assert all(0 <= s <= 1 for s in pairs.values())
 
 
+def test_matrix_is_bounded_by_its_tag_count(spark):
+    ids, dense = random_tags()
+    vectors, tags = frames(spark, ids, dense)
+    got = S.pairwise_cosine(vectors, tags, tag_count=6).collect()
+    assert got and {r["dst"] for r in got} <= {int(i) for i in ids[:6]}
+
+
 @pytest.mark.parametrize("block_tags", [1024, 5])
 @pytest.mark.parametrize("include_self", [True, False])
 def test_best_of_every_tag(spark, block_tags, include_self):
