@@ -170,9 +170,13 @@ def clean_text(text: Column, stop_words: Sequence[str] | None = None) -> Column:
     Gives what the single stages give one after the other.  The folding of non-ASCII characters to
     spaces has no pass of its own: URLs end at them and words are split at them.
     """
-    bare = strip_punctuation(F.lower(F.trim(strip_markup(text))))
-    without_urls = F.regexp_replace(bare, f"http[^{SPACES}{NON_ASCII}]+", "")
-    return F.array_join(_kept_words(without_urls, stop_words, SPACES + NON_ASCII), " ")
+
+    def without_urls(bare: Column) -> Column:
+        cut = F.regexp_replace(bare, f"http[^{SPACES}{NON_ASCII}]+", "")
+        return F.when(F.contains(bare, F.lit("http")), cut).otherwise(bare)
+
+    bare = let(strip_punctuation(F.lower(F.trim(strip_markup(text)))), without_urls)
+    return F.array_join(_kept_words(bare, stop_words, SPACES + NON_ASCII), " ")
 
 
 def tokens(text: Column) -> Column:

@@ -1,0 +1,117 @@
+from tagloom.operators.graph import (
+    TagGraph,
+    community_summary,
+    complete_edges,
+    connected_components,
+    dangling_edges,
+    label_propagation,
+    similarity_edges,
+    tag_graph,
+)
+from tagloom.operators.joins import is_small, lookup_join, salted_join
+from tagloom.operators.posts import (
+    build_post_text,
+    corpus_counts,
+    drop_untitled,
+    min_score,
+    nonblank_text,
+    preprocess_text,
+    tagged_posts,
+    training_posts,
+)
+from tagloom.operators.similarity import (
+    cosine_pairs,
+    pairwise_cosine,
+    similar_tags,
+    similar_tags_all,
+    similarities_to,
+    unit_vectors,
+)
+from tagloom.operators.tags import (
+    build_tag_post,
+    decode_post_ids,
+    encode_post_ids,
+    explode_tags,
+    in_corpus,
+    split_tags,
+    tag_index,
+    tag_post_lists,
+    used_tags,
+)
+from tagloom.operators.terms import (
+    normal_forms,
+    term_frequencies,
+    term_totals,
+    tokenize,
+    vocabulary,
+    with_words,
+)
+from tagloom.operators.vectors import (
+    Vocabulary,
+    count_vectors,
+    coverage,
+    fit_vocabulary,
+    long_form,
+    mean_by_tag,
+    smooth_idf,
+    sum_by_tag,
+    tag_vectors,
+    tfidf,
+    unit_length,
+    vectors_of,
+)
+
+__all__ = [
+    "TagGraph",
+    "Vocabulary",
+    "build_post_text",
+    "build_tag_post",
+    "community_summary",
+    "complete_edges",
+    "connected_components",
+    "corpus_counts",
+    "cosine_pairs",
+    "count_vectors",
+    "coverage",
+    "dangling_edges",
+    "decode_post_ids",
+    "drop_untitled",
+    "encode_post_ids",
+    "explode_tags",
+    "fit_vocabulary",
+    "in_corpus",
+    "is_small",
+    "label_propagation",
+    "long_form",
+    "lookup_join",
+    "mean_by_tag",
+    "min_score",
+    "nonblank_text",
+    "normal_forms",
+    "pairwise_cosine",
+    "preprocess_text",
+    "salted_join",
+    "similar_tags",
+    "similar_tags_all",
+    "similarities_to",
+    "similarity_edges",
+    "smooth_idf",
+    "split_tags",
+    "sum_by_tag",
+    "tag_graph",
+    "tag_index",
+    "tag_post_lists",
+    "tag_vectors",
+    "tagged_posts",
+    "term_frequencies",
+    "term_totals",
+    "tfidf",
+    "tokenize",
+    "training_posts",
+    "unit_length",
+    "unit_vectors",
+    "used_tags",
+    "vectors_of",
+    "vocabulary",
+    "with_words",
+]
