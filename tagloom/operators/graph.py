@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.joins import is_small, lookup_join
-from tagloom.operators.similarity import BLOCK_TAGS, TAG_COUNT, cosine_pairs, first_tags
+from tagloom.operators.similarity import TAG_COUNT, cosine_pairs, first_tags
 from tagloom.sources.staging import cut_lineage
 
 MIN_SIMILARITY = 0.8
@@ -31,14 +31,14 @@ def similarity_edges(
     vectors: DataFrame,
     tags: DataFrame,
     min_similarity: float = MIN_SIMILARITY,
-    block_tags: int = BLOCK_TAGS,
+    block_tags: int | None = None,
 ) -> DataFrame:
     """``(src, dst, weight)``, ``src < dst``, for pairs at least ``min_similarity`` similar."""
     pairs = cosine_pairs(vectors, tags, min_similarity, block_tags)
     return pairs.withColumnRenamed("similarity", "weight")
 
 
-def complete_edges(vectors: DataFrame, tags: DataFrame, block_tags: int = BLOCK_TAGS) -> DataFrame:
+def complete_edges(vectors: DataFrame, tags: DataFrame, block_tags: int | None = None) -> DataFrame:
     """Every ordered pair of tags with its similarity, self-loops included.
 
     The result has ``n * n`` rows: pass a bounded ``tags`` frame, as ``tag_graph`` does.
@@ -69,7 +69,7 @@ def tag_graph(
     tags: DataFrame,
     tag_count: int | None = TAG_COUNT,
     min_similarity: float | None = MIN_SIMILARITY,
-    block_tags: int = BLOCK_TAGS,
+    block_tags: int | None = None,
 ) -> TagGraph:
     """Graph over the first ``tag_count`` tags by id, ``None`` for all of them.
 

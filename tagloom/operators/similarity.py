@@ -6,7 +6,8 @@ equal vectors would otherwise differ in the last bits and ties would come out in
 All-pairs work uses a blocked matrix product.  A join on terms would make one row per pair and
 shared term, and frequent terms are in nearly every tag; a product of two blocks costs the same
 arithmetic without the rows.  Tags are hashed into blocks of bounded size, a block is sent to each
-block it has to meet, and only the wanted pairs come back.
+block it has to meet, and only the wanted pairs come back.  Blocks grow with the number of tags up
+to a limit that a task can hold; inside a task the product is formed in stripes of rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 9
-BLOCK_TAGS = 1024
+MIN_BLOCK_TAGS = 1024
+MAX_BLOCK_TAGS = 8192
+STRIPE_ROWS = 512
 TAG_COUNT = 2000
 
 
@@ -85,13 +88,16 @@ def similar_tags(
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int):
+def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int | None):
     """Tags grouped by ``(low_block, high_block)``, every unordered pair of blocks once.
 
     A tag's entries are packed into one row, zero vectors included.  A row is sent to each pair its
     block takes part in, so a group holds two blocks, or one where a block meets itself.
     """
-    n_blocks = max(1, math.ceil(tags.count() / block_tags))
+    n_tags = tags.count()
+    if block_tags is None:
+        block_tags = min(MAX_BLOCK_TAGS, max(MIN_BLOCK_TAGS, n_tags // 64))
+    n_blocks = max(1, math.ceil(n_tags / block_tags))
     entries = unit_vectors(vectors).groupBy("tag_id").agg(
         F.collect_list(F.struct("term_idx", "weight")).alias("_entries")
     )
@@ -123,24 +129,32 @@ def _dense(block: pa.Table, width: int) -> np.ndarray:
     return out
 
 
-def _product(key, group: pa.Table):
-    """Tag ids of the low and the high block, rising, the matrix of their cosines, and whether
-    both are the same block."""
+def _blocks(key, group: pa.Table):
+    """The two blocks of a group as ``(ids, matrix)``, ids rising, and whether they are the same."""
     low, high = key[0].as_py(), key[1].as_py()
     group = group.sort_by("tag_id")
     top = group.column("terms").combine_chunks().flatten().to_numpy()
     dense = _dense(group, 1 + int(top.max()) if len(top) else 1)
     ids, block = group.column("tag_id").to_numpy(), group.column("block").to_numpy()
+    if low == high:
+        return (ids, dense), (ids, dense), True
     left, right = block == low, block == high
-    cosines = np.round(dense[left] @ dense[right].T, DIGITS)
-    return ids[left], ids[right], cosines, low == high
+    return (ids[left], dense[left]), (ids[right], dense[right]), False
+
+
+def _stripes(rows, columns):
+    """Cosines of all pairs of two blocks, some rows at a time: ``(row ids, column ids, matrix)``."""
+    ids, dense = rows
+    for start in range(0, len(ids), STRIPE_ROWS):
+        part = slice(start, start + STRIPE_ROWS)
+        yield ids[part], columns[0], np.round(dense[part] @ columns[1].T, DIGITS)
 
 
 def cosine_pairs(
     vectors: DataFrame,
     tags: DataFrame,
     min_similarity: float | None = None,
-    block_tags: int = BLOCK_TAGS,
+    block_tags: int | None = None,
 ) -> DataFrame:
     """``(src, dst, similarity)`` with ``src < dst`` for each pair of tags.
 
@@ -149,19 +163,17 @@ def cosine_pairs(
     """
 
     def pairs(key, group):
-        ids_l, ids_r, cosines, same = _product(key, group)
-        if same:
-            wanted = ids_l[:, None] < ids_r[None, :]
-        else:
-            wanted = np.ones(cosines.shape, dtype=bool)
-        if min_similarity is not None:
-            wanted &= cosines >= min_similarity
-        i, j = np.nonzero(wanted)
-        a, b = ids_l[i], ids_r[j]
-        return pa.table(
-            {"src": np.minimum(a, b), "dst": np.maximum(a, b), "similarity": cosines[i, j]},
-            schema=arrow_schema,
-        )
+        left, right, same = _blocks(key, group)
+        found = [arrow_schema.empty_table()]
+        for rows, columns, cosines in _stripes(left, right):
+            wanted = cosines >= (-1.0 if min_similarity is None else min_similarity)
+            if same:
+                wanted &= rows[:, None] < columns[None, :]
+            i, j = np.nonzero(wanted)
+            a, b = rows[i], columns[j]
+            ends = {"src": np.minimum(a, b), "dst": np.maximum(a, b)}
+            found.append(pa.table(ends | {"similarity": cosines[i, j]}, schema=arrow_schema))
+        return pa.concat_tables(found)
 
     arrow_schema = pa.schema(
         [("src", pa.int64()), ("dst", pa.int64()), ("similarity", pa.float64())]
@@ -180,7 +192,7 @@ def pairwise_cosine(
     vectors: DataFrame,
     tags: DataFrame,
     tag_count: int = TAG_COUNT,
-    block_tags: int = BLOCK_TAGS,
+    block_tags: int | None = None,
 ) -> DataFrame:
     """The cosine matrix of the first ``tag_count`` tags in sparse form.
 
@@ -197,7 +209,7 @@ def similar_tags_all(
     tags: DataFrame,
     k: int = 20,
     include_self: bool = True,
-    block_tags: int = BLOCK_TAGS,
+    block_tags: int | None = None,
 ) -> DataFrame:
     """The best ``k`` tags of every tag: ``(query_id, tag_id, similarity, rank)``.
 
@@ -217,23 +229,26 @@ def similar_tags_all(
             order = np.where(cosines < 0, -1, order)
         kept = min(k, n)
         top = np.argpartition(order, n - kept, axis=1)[:, n - kept :]
-        query = np.repeat(queries, kept)
-        return query, others[top].ravel(), np.take_along_axis(cosines, top, axis=1).ravel()
-
-    def candidates(key, group):
-        ids_l, ids_r, cosines, same = _product(key, group)
-        if len(ids_l) == 0 or len(ids_r) == 0:
-            return arrow_schema.empty_table()
-        found = [best(ids_l, ids_r, cosines)]
-        if not same:
-            found.append(best(ids_r, ids_l, cosines.T))
-        query, tag, similarity = (np.concatenate(part) for part in zip(*found))
+        similarity = np.take_along_axis(cosines, top, axis=1).ravel()
         real = similarity >= 0
         return pa.table(
-            {"query_id": query[real], "tag_id": tag[real], "similarity": similarity[real]},
+            {
+                "query_id": np.repeat(queries, kept)[real],
+                "tag_id": others[top].ravel()[real],
+                "similarity": similarity[real],
+            },
             schema=arrow_schema,
         )
 
+    def candidates(key, group):
+        left, right, same = _blocks(key, group)
+        found = [arrow_schema.empty_table()]
+        if len(left[0]) and len(right[0]):
+            found += [best(*stripe) for stripe in _stripes(left, right)]
+            if not same:
+                found += [best(*stripe) for stripe in _stripes(right, left)]
+        return pa.concat_tables(found)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("tag_id"))
     return (
         _block_pairs(vectors, tags, block_tags)

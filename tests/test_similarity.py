@@ -64,8 +64,9 @@ def test_zero_vector_self_and_unknown_name(spark):
         S.similar_tags(vectors, tags, "nobody")
 
 
-@pytest.mark.parametrize("block_tags", [1024, 7, 1])
-def test_all_pairs_in_blocks(spark, block_tags):
+@pytest.mark.parametrize("block_tags", [None, 7, 1])
+def test_all_pairs_in_blocks(spark, block_tags, monkeypatch):
+    monkeypatch.setattr(S, "STRIPE_ROWS", 4)
     ids, dense = random_tags()
     vectors, tags = frames(spark, ids, dense)
     want = cosine_matrix(dense)
@@ -95,9 +96,10 @@ def test_matrix_is_bounded_by_its_tag_count(spark):
     assert got and {r["dst"] for r in got} <= {int(i) for i in ids[:6]}
 
 
-@pytest.mark.parametrize("block_tags", [1024, 5])
+@pytest.mark.parametrize("block_tags", [None, 5])
 @pytest.mark.parametrize("include_self", [True, False])
-def test_best_of_every_tag(spark, block_tags, include_self):
+def test_best_of_every_tag(spark, block_tags, include_self, monkeypatch):
+    monkeypatch.setattr(S, "STRIPE_ROWS", 3)
     ids, dense = random_tags(seed=7)
     vectors, tags = frames(spark, ids, dense)
     got = S.similar_tags_all(vectors, tags, 6, include_self, block_tags).collect()
