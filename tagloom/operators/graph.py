@@ -96,8 +96,13 @@ def dangling_edges(graph: TagGraph) -> DataFrame:
     """
     ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     missing = ends.join(graph.vertices, "id", "left_anti")
-    by_src = graph.edges.join(missing.withColumnRenamed("id", "src"), "src", "left_semi")
-    by_dst = graph.edges.join(missing.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    small = is_small(missing)
+    by_src = lookup_join(
+        graph.edges, missing.withColumnRenamed("id", "src"), "src", salt_by="dst", small=small
+    )
+    by_dst = lookup_join(
+        graph.edges, missing.withColumnRenamed("id", "dst"), "dst", salt_by="src", small=small
+    )
     return by_src.unionByName(by_dst).distinct()
 
 

@@ -59,11 +59,15 @@ def decode_post_ids(encoded: Column) -> Column:
 
 
 def build_tag_post(
-    posts: DataFrame, tags: DataFrame, ids_per_chunk: int = IDS_PER_CHUNK
+    posts: DataFrame,
+    tags: DataFrame,
+    ids_per_chunk: int = IDS_PER_CHUNK,
+    small: bool | None = None,
 ) -> DataFrame:
     """The tag dimension with its encoded post ids, one row per tag and chunk.
 
-    Posts are grouped before the join, so the join sees a tag at most once per chunk.
+    Posts are grouped before the join, so the join sees a tag at most once per chunk; a tag with
+    very many chunks is a hot key of that join.
     """
     lists = tag_post_lists(explode_tags(posts), ids_per_chunk).select(
         "tag_name", "chunk", encode_post_ids(F.col("post_ids")).alias("post_ids")
@@ -71,7 +75,7 @@ def build_tag_post(
     dim = tags.select(
         F.col("id").alias("tag_id"), "tag_name", F.col("count"), "excerpt_post_id", "wiki_post_id"
     )
-    return dim.join(lists, "tag_name").select(
+    return lookup_join(lists, dim, "tag_name", salt_by="chunk", small=small).select(
         "tag_id", "tag_name", "count", "excerpt_post_id", "wiki_post_id", "chunk", "post_ids"
     )
 

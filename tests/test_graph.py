@@ -84,7 +84,9 @@ def test_label_propagation(spark, name, small, monkeypatch):
     assert set(got.values()) <= set(range(n))
 
 
-def test_dangling_edges(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_dangling_edges(spark, small, monkeypatch):
+    monkeypatch.setattr(G, "is_small", lambda df: small)
     graph = make(spark, 3, [(0, 1), (1, 7), (8, 2), (8, 9), (2, 2)])
     got = sorted((r["src"], r["dst"]) for r in G.dangling_edges(graph).collect())
     assert got == [(1, 7), (8, 2), (8, 9)]

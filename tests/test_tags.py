@@ -71,12 +71,13 @@ def test_lists_are_chunked_sorted_and_whole(spark):
 
 def test_build_tag_post_and_decode(spark):
     c = corpus(spark)
-    built = T.build_tag_post(c.posts, c.tags)
-    assert rows(built) == [
-        (10, "a", 4, 100, 200, 0, "1,2,5"),
-        (10, "a", 4, 100, 200, 1, "1000001"),
-        (20, "b", 2, 101, 201, 0, "1,5,5"),
-    ]
+    for small in (True, False, None):
+        built = T.build_tag_post(c.posts, c.tags, small=small)
+        assert rows(built) == [
+            (10, "a", 4, 100, 200, 0, "1,2,5"),
+            (10, "a", 4, 100, 200, 1, "1000001"),
+            (20, "b", 2, 101, 201, 0, "1,5,5"),
+        ]
     decoded = built.select(T.decode_post_ids(F.col("post_ids")).alias("ids"))
     assert dict(decoded.dtypes)["ids"] == "array<bigint>"
     assert rows(T.used_tags(c.posts, c.tags)) == [(10, "a", 4), (20, "b", 3)]
