@@ -357,7 +357,8 @@ BOTH = (
 
 
 def page(expression) -> str:
-    return f"SELECT page_id, {expression(chr(39).join(['html || ', ' ', ' || url']))} AS text FROM pages"
+    both = expression("html || ' ' || url")
+    return f"SELECT page_id, {both} AS text FROM pages"
 
 
 def document(expression) -> str:

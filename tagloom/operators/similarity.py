@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIGITS = 9
 MIN_BLOCK_TAGS = 1024
 MAX_BLOCK_TAGS = 8192
+MAX_BLOCK_CELLS = MAX_BLOCK_TAGS * 1000
 STRIPE_ROWS = 512
 TAG_COUNT = 2000
 
@@ -88,6 +89,14 @@ def similar_tags(
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def _block_size(vectors: DataFrame, n_tags: int) -> int:
+    """Tags per block: few enough blocks, and a dense block that fits a task for any vocabulary."""
+    last = vectors.agg(F.max("term_idx")).head()[0]
+    width = 1 if last is None else last + 1
+    wanted = min(MAX_BLOCK_TAGS, max(MIN_BLOCK_TAGS, n_tags // 64))
+    return max(1, min(wanted, MAX_BLOCK_CELLS // width))
+
+
 def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int | None):
     """Tags grouped by ``(low_block, high_block)``, every unordered pair of blocks once.
 
@@ -95,9 +104,7 @@ def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int | None):
     block takes part in, so a group holds two blocks, or one where a block meets itself.
     """
     n_tags = tags.count()
-    if block_tags is None:
-        block_tags = min(MAX_BLOCK_TAGS, max(MIN_BLOCK_TAGS, n_tags // 64))
-    n_blocks = max(1, math.ceil(n_tags / block_tags))
+    n_blocks = max(1, math.ceil(n_tags / (block_tags or _block_size(vectors, n_tags))))
     entries = unit_vectors(vectors).groupBy("tag_id").agg(
         F.collect_list(F.struct("term_idx", "weight")).alias("_entries")
     )
@@ -143,7 +150,7 @@ def _blocks(key, group: pa.Table):
 
 
 def _stripes(rows, columns):
-    """Cosines of all pairs of two blocks, some rows at a time: ``(row ids, column ids, matrix)``."""
+    """Cosines of two blocks, some rows at a time: ``(row ids, column ids, matrix)``."""
     ids, dense = rows
     for start in range(0, len(ids), STRIPE_ROWS):
         part = slice(start, start + STRIPE_ROWS)

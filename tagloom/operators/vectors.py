@@ -139,7 +139,9 @@ def _count_by_join(posts: DataFrame, vocab: Vocabulary, keep: list[str]) -> Data
         .join(packed, "post_id", "left")
         .withColumn("_entries", entries)
         .select(
-            *keep, F.col("_entries.term_idx").alias("term_idx"), F.col("_entries.value").alias("value")
+            *keep,
+            F.col("_entries.term_idx").alias("term_idx"),
+            F.col("_entries.value").alias("value"),
         )
     )
 
@@ -183,9 +185,13 @@ def unit_length(weighted: DataFrame) -> DataFrame:
 
 
 def long_form(packed: DataFrame, key: str = "post_id", value: str = "weight") -> DataFrame:
-    """``(key, term_idx, value)``, one row per vector entry."""
-    entries = F.arrays_zip("term_idx", "value")
-    return packed.select(key, F.explode(entries).alias("_e")).select(
+    """``(key, term_idx, value)``, one row per vector entry.
+
+    The outer explode and its filter keep the optimizer from computing the arrays a second time
+    just to test their size.
+    """
+    exploded = packed.select(key, F.explode_outer(F.arrays_zip("term_idx", "value")).alias("_e"))
+    return exploded.filter(F.col("_e").isNotNull()).select(
         key, F.col("_e.term_idx").alias("term_idx"), F.col("_e.value").alias(value)
     )
 

@@ -85,7 +85,8 @@ def fit_tag_vectors(
     """
     text = build_post_text(corpus.posts, corpus.excerpts, corpus.wikis, carry=["tags"])
     cleaned = training_posts(text, score, stop_words, max_posts)
-    posts = stage(with_words(cleaned.select("post_id", "tags", "body"), cleaned=True), "training_posts")
+    words = with_words(cleaned.select("post_id", "tags", "body"), cleaned=True)
+    posts = stage(words, "training_posts")
     model = fit_post_vectors(posts, feature_size, stem, lemmas)
     tagged = model.posts.withColumn("tag_name", F.explode(split_tags(F.col("tags"))))
     sums = sum_by_tag(tagged, "tag_name")

@@ -9,14 +9,14 @@ VECTOR_COLUMNS = ("tag_id", "term_idx", "weight")
 
 
 def save_vectors(vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write ``(tag_id, term_idx, weight)`` rows, clustered by tag inside each file.
+    """Write ``(tag_id, term_idx, weight)`` rows, each tag in one file, sorted by tag.
 
-    Sorting inside the partitions gives the files tight ``tag_id`` ranges, so reading the vector of
-    one tag skips most row groups.
+    The row groups of a file then have narrow ``tag_id`` ranges, so reading the vector of one tag
+    skips most of them.  A tag has at most one row per vocabulary term, so no file is much larger.
     """
     (
         vectors.select(*VECTOR_COLUMNS)
-        .repartitionByRange("tag_id", "term_idx")
+        .repartition("tag_id")
         .sortWithinPartitions("tag_id", "term_idx")
         .write.mode(mode)
         .parquet(path)

@@ -58,7 +58,8 @@ def main() -> None:
         except Exception as error:  # report and go on with the next query
             diff = f"{type(error).__name__}: {str(error)[:600]}"
         failed += diff is not None
-        print(f"{name:28} {time.time() - start:6.1f}s  {'ok' if diff is None else diff}"[:900], flush=True)
+        outcome = "ok" if diff is None else diff
+        print(f"{name:28} {time.time() - start:6.1f}s  {outcome}"[:900], flush=True)
     print("failed:", failed)
 
 

@@ -110,3 +110,13 @@ def test_best_of_every_tag(spark, block_tags, include_self, monkeypatch):
     for i, query in enumerate(ids):
         keep = [j for j in range(len(ids)) if include_self or j != i]
         assert by_query[query] == ranking(ids[keep], want[i, keep], 6)
+
+
+def test_blocks_fit_a_task(spark):
+    one = spark.createDataFrame([(1, 999, 1.0)], "tag_id bigint, term_idx int, weight double")
+    assert S._block_size(one, 10) == 1024
+    assert S._block_size(one, 128_000) == 2000
+    assert S._block_size(one, 10**9) == 8192
+    wide = spark.createDataFrame([(1, 99_999, 1.0)], "tag_id bigint, term_idx int, weight double")
+    assert S._block_size(wide, 10**9) == 81
+    assert S._block_size(one.limit(0), 0) == 1024

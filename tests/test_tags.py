@@ -56,8 +56,8 @@ def test_index_keeps_repeats_and_known_tags(spark):
 
 def test_lists_are_chunked_sorted_and_whole(spark):
     exploded = T.explode_tags(corpus(spark).posts)
-    lists = {(r["tag_name"], r["chunk"]): r["post_ids"] for r in T.tag_post_lists(exploded).collect()}
-    assert lists == {
+    lists = T.tag_post_lists(exploded).collect()
+    assert {(r["tag_name"], r["chunk"]): r["post_ids"] for r in lists} == {
         ("a", 0): [1, 2, 5],
         ("a", 1): [1_000_001],
         ("b", 0): [1, 5, 5],
@@ -122,9 +122,10 @@ def test_caps_are_ordered_and_off_by_default(spark):
 
 def test_corpus_from_files(spark, tmp_path):
     c = corpus(spark)
-    for name in ("posts", "tags", "excerpts", "wikis"):
+    names = ("posts", "tags", "excerpts", "wikis")
+    for name in names:
         getattr(c, name).write.json(str(tmp_path / name))
-    config = CorpusConfig(*(str(tmp_path / n) for n in ("posts", "tags", "excerpts", "wikis")), fmt="json")
+    config = CorpusConfig(*(str(tmp_path / name) for name in names), fmt="json")
     loaded = load_corpus(spark, config)
     assert loaded.posts.schema == c.posts.schema
     assert rows(loaded.posts.select("id", "tags")) == rows(c.posts.select("id", "tags"))

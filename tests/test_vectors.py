@@ -49,7 +49,8 @@ def brute_force(posts, size):
 
 
 def as_dicts(packed):
-    return {r["post_id"]: dict(zip(r["term_idx"], r["value"], strict=True)) for r in packed.collect()}
+    rows = packed.collect()
+    return {r["post_id"]: dict(zip(r["term_idx"], r["value"], strict=True)) for r in rows}
 
 
 @pytest.mark.parametrize("size", [3, 1000])
@@ -79,8 +80,9 @@ def test_stems_and_lemmas_change_the_terms(spark):
     assert list(model.vocabulary.terms) == terms
     assert as_dicts(model.posts) == {p: pytest.approx(v) for p, v in want.items()}
 
-    lemmas = spark.createDataFrame([("quicker", "quick"), ("run", "go")], "term string, lemma string")
-    both = [(i, [{"quicker": "quick", "run": "go"}.get(w, w) for w in ws]) for i, ws in stemmed]
+    lemma_of = {"quicker": "quick", "run": "go"}
+    lemmas = spark.createDataFrame(list(lemma_of.items()), "term string, lemma string")
+    both = [(i, [lemma_of.get(w, w) for w in words]) for i, words in stemmed]
     model = fit_post_vectors(df, feature_size=5, stem=True, lemmas=lemmas)
     terms, want = brute_force(both, 5)
     assert list(model.vocabulary.terms) == terms
@@ -161,7 +163,8 @@ def test_index_join_gives_the_same_tag_vectors(spark):
     tagged = model.posts.join(index, "post_id")
     direct = V.vectors_of(V.mean_by_tag(V.sum_by_tag(tagged, "tag_id")))
     key = ["tag_id", "term_idx"]
-    one, two = direct.orderBy(key).collect(), V.tag_vectors(index, model.posts).orderBy(key).collect()
+    one = direct.orderBy(key).collect()
+    two = V.tag_vectors(index, model.posts).orderBy(key).collect()
     assert [r[:2] for r in one] == [r[:2] for r in two]
     assert [r[2] for r in one] == pytest.approx([r[2] for r in two])
 
