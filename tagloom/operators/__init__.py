@@ -8,7 +8,7 @@ from tagloom.operators.graph import (
     similarity_edges,
     tag_graph,
 )
-from tagloom.operators.joins import is_small, lookup_join, salted_join
+from tagloom.operators.joins import hot_keys, is_small, lookup_join, salted_join
 from tagloom.operators.posts import (
     build_post_text,
     corpus_counts,
@@ -79,6 +79,7 @@ __all__ = [
     "encode_post_ids",
     "explode_tags",
     "fit_vocabulary",
+    "hot_keys",
     "in_corpus",
     "is_small",
     "label_propagation",

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.joins import is_small, lookup_join
+from tagloom.operators.joins import hot_keys, is_small, lookup_join
 from tagloom.operators.similarity import TAG_COUNT, cosine_pairs, first_tags
 from tagloom.sources.staging import cut_lineage
 
@@ -172,11 +172,11 @@ def label_propagation(graph: TagGraph, max_iter: int = 5) -> DataFrame:
     """
     small = is_small(graph.vertices)
     links = cut_lineage(_both_ways(graph.edges.select("src", "dst")))
+    hubs = None if small else cut_lineage(hot_keys(links, "src"))
     labels = graph.vertices.select("id", F.col("id").alias("label"))
     for _ in range(max_iter):
-        told = lookup_join(
-            links, labels.withColumnRenamed("id", "src"), "src", salt_by="dst", small=small
-        )
+        known = labels.withColumnRenamed("id", "src")
+        told = lookup_join(links, known, "src", salt_by="dst", small=small, hot=hubs)
         votes = told.groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("votes"))
         # The largest (votes, -label) is the winner; an aggregate combines before it shuffles.
         heard = votes.groupBy("id").agg(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 256
-SPREAD = 64
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -19,17 +18,33 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
+def hot_keys(facts: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
+    """The ``most`` most frequent keys of ``facts``.
+
+    Found by a count that combines before it shuffles.  Any other key holds less than one part in
+    ``most`` of the rows.
+    """
+    counts = facts.groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.orderBy(F.desc("_n"), key).limit(most).select(key)
+
+
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, salt_by: str, small: bool | None = None
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    salt_by: str,
+    small: bool | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join of ``facts`` with ``lookup`` on ``key``.
 
-    ``small`` says that the caller has checked the size of ``lookup`` already.  ``salt_by`` is a
-    column of ``facts`` whose values differ inside a hot group.
+    ``small`` says whether ``lookup`` is, if the caller has checked its size already.  ``salt_by``
+    is a column of ``facts`` whose values differ inside a hot group.  ``hot`` is the ``hot_keys``
+    of ``facts``, if the caller joins the same facts again and again.
     """
     if is_small(lookup) if small is None else small:
         return facts.join(F.broadcast(lookup), key)
-    return salted_join(facts, lookup, key, salt_by)
+    return salted_join(facts, lookup, key, salt_by, hot)
 
 
 def salted_join(
@@ -37,34 +52,26 @@ def salted_join(
     lookup: DataFrame,
     key: str,
     salt_by: str,
-    hot_keys: int = HOT_KEYS,
-    spread: int = SPREAD,
+    hot: DataFrame | None = None,
+    spread: int | None = None,
 ) -> DataFrame:
-    """Inner equi-join where the most frequent keys are spread over ``spread`` partitions.
+    """Inner equi-join where the most frequent keys are spread over ``spread`` salts.
 
-    The ``hot_keys`` most frequent keys of ``facts`` are found by a count that combines before it
-    shuffles, so any other key holds less than one part in ``hot_keys`` of the rows.  Each fact of
-    a hot key gets one salt, each look-up row of a hot key is repeated for every salt: at most
-    ``hot_keys * spread`` extra rows per look-up row of a key.  The salt is a hash, so a retried
-    task sends its rows to the same places.
+    Each fact of a hot key gets one salt, each look-up row of a hot key is repeated for every salt:
+    at most ``HOT_KEYS * spread`` extra rows per look-up row of a key.  By default there are as
+    many salts as shuffle partitions, so even a key on most rows fills them evenly.  The salt is a
+    hash, so a retried task sends its rows to the same places.
     """
-    hot = F.broadcast(
-        facts.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .orderBy(F.desc("_n"), key)
-        .limit(hot_keys)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    if spread is None:
+        spread = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(facts, key) if hot is None else hot
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(spread - 1))
     salted = facts.join(hot, key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(spread))).otherwise(0).cast("int"),
+        "_salt", F.when(F.col("_hot"), salt).otherwise(0)
     )
     repeated = lookup.join(hot, key, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
     )
     return salted.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"]).drop("_salt")

@@ -1,13 +1,12 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tagloom.operators import posts as P
 from tagloom.operators import tags as T
-from tagloom.operators.joins import lookup_join, salted_join
+from tagloom.operators.joins import hot_keys, lookup_join, salted_join
 from tagloom.sources import (
     POSTS_SCHEMA,
     TAGS_SCHEMA,
@@ -139,10 +138,12 @@ def test_joins_agree_on_a_hot_key(spark):
         [("hot", 1), ("a", 2), ("a", 3), ("b", 4), ("z", 5)], "key string, v int"
     )
     want = rows(facts.join(lookup, "key"))
-    assert rows(salted_join(facts, lookup, "key", "n", hot_keys=2, spread=5)) == want
+    hot = hot_keys(facts, "key", 2)
+    assert hot.head()["key"] == "hot" and hot.count() == 2
+    assert rows(salted_join(facts, lookup, "key", "n", hot, spread=5)) == want
+    assert rows(salted_join(facts, lookup, "key", "n")) == want
     assert rows(lookup_join(facts, lookup, "key", "n")) == want
-    salted = salted_join(facts, lookup, "key", "n", hot_keys=1, spread=8)
-    assert Counter(salted.columns) == Counter(["key", "n", "v"])
+    assert sorted(salted_join(facts, lookup, "key", "n", hot).columns) == ["key", "n", "v"]
 
 
 def test_semi_join_keeps_multiplicity(spark):
