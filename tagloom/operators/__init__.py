@@ -25,7 +25,6 @@ from tagloom.operators.similarity import (
     similar_tags,
     similar_tags_all,
     similarities_to,
-    unit_vectors,
 )
 from tagloom.operators.tags import (
     build_tag_post,
@@ -110,7 +109,6 @@ __all__ = [
     "tokenize",
     "training_posts",
     "unit_length",
-    "unit_vectors",
     "used_tags",
     "vectors_of",
     "vocabulary",

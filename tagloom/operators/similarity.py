@@ -21,6 +21,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.vectors import unit_length
+
 # The block functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,12 +34,6 @@ STRIPE_ROWS = 512
 TAG_COUNT = 2000
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """``(tag_id, term_idx, weight)`` with Euclidean length 1 per tag."""
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("tag_id")))
-    return vectors.select("tag_id", "term_idx", (F.col("weight") / length).alias("weight"))
-
-
 def find_tag(tags: DataFrame, name: str) -> int:
     """The id of the tag called ``name``; an unknown name is an error."""
     row = tags.filter(F.col("tag_name") == name).select("tag_id").orderBy("tag_id").head()
@@ -50,20 +46,23 @@ def similarities_to(vectors: DataFrame, tags: DataFrame, name: str) -> DataFrame
     """``(tag_id, tag_name, similarity)`` of every tag to the named one, itself included.
 
     A tag with the zero vector has similarity 0.  The query's own entries, at most one per
-    vocabulary term, are broadcast.
+    vocabulary term, are broadcast; products and lengths are summed together, in each map task
+    first.
     """
-    unit = unit_vectors(vectors)
-    query = unit.filter(F.col("tag_id") == find_tag(tags, name)).select(
-        "term_idx", F.col("weight").alias("_q")
-    )
-    dots = (
-        unit.join(F.broadcast(query), "term_idx")
+    wanted = F.col("tag_id") == find_tag(tags, name)
+    query = vectors.filter(wanted).select("term_idx", F.col("weight").alias("_q"))
+    length = query.agg(F.sqrt(F.sum(F.col("_q") * F.col("_q")))).head()[0]
+    sums = (
+        vectors.join(F.broadcast(query), "term_idx", "left")
         .groupBy("tag_id")
-        .agg(F.sum(F.col("weight") * F.col("_q")).alias("_dot"))
+        .agg(
+            F.sum(F.col("weight") * F.col("_q")).alias("_dot"),
+            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
+        )
     )
-    similarity = F.round(F.coalesce("_dot", F.lit(0.0)), DIGITS)
-    return tags.join(dots, "tag_id", "left").select(
-        "tag_id", "tag_name", similarity.alias("similarity")
+    cosine = F.coalesce(F.col("_dot") / (F.col("_length") * F.lit(length or 1.0)), F.lit(0.0))
+    return tags.join(sums, "tag_id", "left").select(
+        "tag_id", "tag_name", F.round(cosine, DIGITS).alias("similarity")
     )
 
 
@@ -105,15 +104,15 @@ def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int | None):
     """
     n_tags = tags.count()
     n_blocks = max(1, math.ceil(n_tags / (block_tags or _block_size(vectors, n_tags))))
-    entries = unit_vectors(vectors).groupBy("tag_id").agg(
-        F.collect_list(F.struct("term_idx", "weight")).alias("_entries")
-    )
-    packed = tags.select("tag_id").join(entries, "tag_id", "left").select(
+    entries = F.collect_list(F.struct("term_idx", "weight"))
+    rows = vectors.groupBy("tag_id").agg(entries.alias("_entries"))
+    packed = tags.select("tag_id").join(rows, "tag_id", "left").select(
         "tag_id",
-        F.coalesce(F.col("_entries.term_idx"), F.array().cast("array<int>")).alias("terms"),
-        F.coalesce(F.col("_entries.weight"), F.array().cast("array<double>")).alias("weights"),
+        F.coalesce("_entries.term_idx", F.array().cast("array<int>")).alias("terms"),
+        F.coalesce("_entries.weight", F.array().cast("array<double>")).alias("value"),
         F.pmod(F.xxhash64("tag_id"), F.lit(n_blocks)).cast("int").alias("block"),
     )
+    packed = unit_length(packed).withColumnRenamed("value", "weights")
     others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     return (
         packed.withColumn("_other", others)

@@ -95,4 +95,6 @@ def test_nothing_crosses(spark, model):
 
 def test_ranking_limits_before_it_sorts(spark, model):
     assert "TakeOrderedAndProject" in plan(S.similar_tags(model.vectors, model.tags, "en"))
+    scored = plan(S.similarities_to(model.vectors, model.tags, "en"))
+    assert "partial_sum" in scored and "Window" not in scored
     assert "WindowGroupLimit" in plan(S.similar_tags_all(model.vectors, model.tags, k=3))
