@@ -60,7 +60,8 @@ def similarities_to(vectors: DataFrame, tags: DataFrame, name: str) -> DataFrame
             F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
         )
     )
-    cosine = F.coalesce(F.col("_dot") / (F.col("_length") * F.lit(length or 1.0)), F.lit(0.0))
+    product = F.col("_length") * F.lit(length or 0.0)
+    cosine = F.when(product > 0, F.coalesce(F.col("_dot") / product, F.lit(0.0))).otherwise(0.0)
     return tags.join(sums, "tag_id", "left").select(
         "tag_id", "tag_name", F.round(cosine, DIGITS).alias("similarity")
     )

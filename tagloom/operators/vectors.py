@@ -177,10 +177,11 @@ def tfidf(counted: DataFrame, idf: Sequence[float]) -> DataFrame:
 
 
 def unit_length(weighted: DataFrame) -> DataFrame:
-    """Divide each vector by its Euclidean length; an empty vector stays empty."""
+    """Divide each vector by its Euclidean length; an empty or zero vector stays as it is."""
     squares = F.aggregate("value", F.lit(0.0), lambda acc, v: acc + v * v)
+    length = F.when(squares > 0, F.sqrt(squares)).otherwise(1.0)
     return weighted.withColumn(
-        "value", let(F.sqrt(squares), lambda length: F.transform("value", lambda v: v / length))
+        "value", let(length, lambda by: F.transform("value", lambda v: v / by))
     )
 
 

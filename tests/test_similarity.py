@@ -23,6 +23,7 @@ def frames(spark, ids, dense):
         for i, t in enumerate(ids)
         for j in np.nonzero(dense[i])[0]
     ]
+    rows.append((int(ids[-1]), 0, 0.0))  # a zero vector may also be stored as a zero entry
     vectors = spark.createDataFrame(rows, "tag_id bigint, term_idx int, weight double")
     tags = spark.createDataFrame(
         [(int(t), f"t{t}") for t in ids], "tag_id bigint, tag_name string"
