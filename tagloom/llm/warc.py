@@ -116,7 +116,8 @@ class ArchiveWriter:
 
         self.files, base = fs.FileSystem.from_uri(folder)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out = self.files.open_output_stream(f"{base}/{self.name}")
+        # The records are compressed here: the stream must not do it again because of the name.
+        self.out = self.files.open_output_stream(f"{base}/{self.name}", compression=None)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         self.frame_bytes = frame_bytes
         self.frame: list[bytes] = []
