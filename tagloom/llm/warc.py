@@ -255,7 +255,10 @@ def read_archives(catalogue: DataFrame, folder: str, payloads: bool = False) ->
 
     A frame is read once for all records in it; their number is bounded by the size of a frame.
     """
-    frames = catalogue.groupBy("archive", "frame").agg(
+    # The catalogue is small beside what reading it takes, so the number of tasks is given.
+    tasks = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = catalogue.repartition(tasks, "archive", "frame")
+    frames = dealt.groupBy("archive", "frame").agg(
         F.collect_list(F.struct("offset", "length")).alias("places")
     )
 
