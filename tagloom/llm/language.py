@@ -68,7 +68,7 @@ class Model:
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
-        seen = np.unique(gram & 255)
+        seen = np.unique(np.append(gram & 255, 0))  # zeros stand before a text
         self.symbol = np.zeros(256, np.int64)  # 0: a byte that no language saw
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = len(seen) + 1
