@@ -170,10 +170,8 @@ def test_code_lengths():
         bits = model.code_lengths(text)
         for k in range(2):
             grams = {int(g).to_bytes(4, "big"): c for l, g, c in zip(lang, gram, n) if l == k}
-            known = {int(g).to_bytes(4, "big")[-3:] for g in gram}
             if all((bytes(3) + text)[i : i + 4][:3] in {int(g >> 8).to_bytes(3, "big") for g in gram} for i in range(len(text))):
                 assert bits[k] == pytest.approx(brute_bits(grams, text, language.ORDER), abs=1e-3)
-            assert known
 
 
 def held_out_rates(report, truth, label):
@@ -197,11 +195,13 @@ def test_language_edges(docs, no_docs, rows):
 
 
 def test_quality_and_toxicity_held_out(spark):
-    labels = table(spark, SF, "labels")
-    recall, clean = held_out_rates(queries.op2_quality(spark, SF), labels, "quality")
-    assert recall > 0.95 and clean > 0.8
-    recall, clean = held_out_rates(queries.op7_toxicity(spark, SF), labels, "toxic")
-    assert recall > 0.7 and clean > 0.95
+    # About 1000 held-out rows: of the toxic labels some stand on texts without any toxic word.
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels")
+    recall, clean = held_out_rates(queries.op2_quality(spark, sf), labels, "quality")
+    assert recall > 0.99 and clean > 0.95
+    recall, clean = held_out_rates(queries.op7_toxicity(spark, sf), labels, "toxic")
+    assert recall > 0.9 and clean > 0.98
 
 
 @pytest.mark.parametrize("report", [quality.quality_report, toxicity.toxicity_report])
