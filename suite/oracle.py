@@ -6,7 +6,7 @@ RE2, which has no possessive quantifiers and no back-references.
 
 from __future__ import annotations
 
-from suite.spark_queries import MIN_SIMILARITY, ORDER_TAG, QUERY_TAG, SCAN_LIMIT
+from suite.spark_queries import COMPLETE_TAGS, MIN_SIMILARITY, ORDER_TAG, QUERY_TAG, SCAN_LIMIT
 from tagloom.functions.stemming import IRREGULAR, STEP_1A, STEP_2, STEP_3, STEP_4
 from tagloom.functions.wordlists import (
     C1_CONTROLS,
@@ -77,7 +77,10 @@ def stops(x: str) -> str:
 
 
 def normal(x: str) -> str:
-    return fold(punct(f"lower(trim({x}))"))
+    spaces = (
+        r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    )
+    return fold(punct(f"lower(regexp_replace({x}, '^[{spaces}]+|[{spaces}]+$', '', 'g'))"))
 
 
 def clean(x: str) -> str:
@@ -297,12 +300,16 @@ ranking AS (
   SELECT u.tag_id, u.tag_name, round(coalesce(dot, 0), 9) AS similarity
   FROM used u LEFT JOIN dots USING (tag_id))
 """
-VERTICES = "vertices AS (SELECT tag_id AS id, tag_name AS name FROM used ORDER BY id LIMIT 2000)"
+VERTICES = "vertices AS (SELECT tag_id AS id, tag_name AS name FROM used)"
 EDGES = (
     "edges AS (SELECT a AS src, b AS dst, similarity AS weight FROM cosines "
     "WHERE a IN (SELECT id FROM vertices) AND b IN (SELECT id FROM vertices) "
     f"AND a < b AND similarity >= {MIN_SIMILARITY})"
 )
+FIRST_VERTICES = (
+    "vertices AS (SELECT tag_id AS id, tag_name AS name FROM used "
+    f"ORDER BY id LIMIT {COMPLETE_TAGS})"
+)
 COMPLETE = (
     "edges AS (SELECT a AS src, b AS dst, similarity AS weight FROM cosines "
     "WHERE a IN (SELECT id FROM vertices) AND b IN (SELECT id FROM vertices))"
@@ -483,8 +490,10 @@ ORACLE: dict[str, str] = {
     "pairwise_cosine": sql(
         *MODEL,
         COSINES,
+        FIRST_VERTICES,
         "SELECT a AS src, b AS dst, similarity FROM cosines "
-        "WHERE a < b AND similarity > 0",
+        "WHERE a IN (SELECT id FROM vertices) AND b IN (SELECT id FROM vertices) "
+        "AND a < b AND similarity > 0",
     ),
     "similarity_edges": sql(
         *MODEL,
@@ -495,7 +504,7 @@ ORACLE: dict[str, str] = {
     "tag_graph": sql(
         *MODEL,
         COSINES,
-        VERTICES,
+        FIRST_VERTICES,
         COMPLETE,
         "SELECT src, name, dst, weight FROM edges JOIN vertices ON id = src",
     ),
@@ -527,7 +536,7 @@ ORACLE: dict[str, str] = {
     ),
     "detect_communities": sql(*GRAPH, COMPONENTS, LABELS, BOTH),
     "complete_graph_communities": sql(
-        *MODEL, COSINES, VERTICES, COMPLETE, COMPONENTS, LABELS, BOTH
+        *MODEL, COSINES, FIRST_VERTICES, COMPLETE, COMPONENTS, LABELS, BOTH
     ),
     "order_tag_vectors": sql(*ORDER_MODEL, ROUND_VECTORS),
     "order_similar_tags": sql(*ORDER_MODEL, ONE.format(name=lit(ORDER_TAG)), TOP_20),

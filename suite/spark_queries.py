@@ -38,6 +38,8 @@ QUERY_TAG = "en"
 ORDER_TAG = "Brand#11"
 MIN_SIMILARITY = 0.8
 SCAN_LIMIT = 100
+#: Complete matrices and graphs ask for fewer tags than there are.
+COMPLETE_TAGS = 30
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -412,7 +414,7 @@ def similar_tags_all(spark, sf_dir):
 @query
 def pairwise_cosine(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return similarity.pairwise_cosine(model.vectors, model.tags)
+    return similarity.pairwise_cosine(model.vectors, model.tags, COMPLETE_TAGS)
 
 
 @query
@@ -431,9 +433,11 @@ def _graph(spark, sf_dir) -> graph.TagGraph:
 
 @query
 def tag_graph(spark, sf_dir):
-    """The complete graph over the default number of tags, as vertices with their edges."""
+    """The complete graph over the first ``COMPLETE_TAGS`` tags, as vertices with their edges."""
     model = _model(spark, sf_dir)
-    complete = graph.tag_graph(model.vectors, model.tags, min_similarity=None)
+    complete = graph.tag_graph(
+        model.vectors, model.tags, COMPLETE_TAGS, min_similarity=None
+    )
     return complete.vertices.withColumnRenamed("id", "src").join(complete.edges, "src")
 
 
@@ -487,7 +491,7 @@ def _communities(model: TagModel) -> DataFrame:
 @query
 def complete_graph_communities(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return detect_communities(model.vectors, model.tags, min_similarity=None)
+    return detect_communities(model.vectors, model.tags, COMPLETE_TAGS, min_similarity=None)
 
 
 # The same operators over orders: many short posts, few large tags

@@ -9,6 +9,7 @@ spelled with an apostrophe never match.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -119,7 +120,7 @@ def strip_markup(
     """
     text = F.coalesce(text, F.lit(""))
     bare = F.when(
-        F.contains(text, F.lit("<")), F.regexp_replace(text, MARKUP, "$1" + separator)
+        F.contains(text, F.lit("<")), F.regexp_replace(text, MARKUP, "$1" + re.sub(r"([\\$])", r"\\\1", separator))
     ).otherwise(text)
     return decode_entities(bare, entities)
 
@@ -159,9 +160,16 @@ def drop_stopwords(text: Column, stop_words: Sequence[str] | None = None) -> Col
     return F.array_join(kept_words(text, stop_words), " ")
 
 
+#: All characters that Unicode counts as white space, and the four ASCII separators.
+UNICODE_SPACES = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
+
 def normalize_text(text: Column) -> Column:
-    """Trim, lower case, no punctuation, ASCII only."""
-    return ascii_fold(strip_punctuation(F.lower(F.trim(text))))
+    """No white space at the ends, lower case, no punctuation, ASCII only."""
+    bare = F.regexp_replace(text, f"^[{UNICODE_SPACES}]+|[{UNICODE_SPACES}]+$", "")
+    return ascii_fold(strip_punctuation(F.lower(bare)))
 
 
 def clean_text(text: Column, stop_words: Sequence[str] | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.joins import hot_keys, is_small, lookup_join
-from tagloom.operators.similarity import TAG_COUNT, cosine_pairs, first_tags
+from tagloom.operators.similarity import cosine_pairs, first_tags
 from tagloom.sources.staging import cut_lineage
 
 MIN_SIMILARITY = 0.8
@@ -67,11 +67,11 @@ def _both_ways(edges: DataFrame, *carry: str) -> DataFrame:
 def tag_graph(
     vectors: DataFrame,
     tags: DataFrame,
-    tag_count: int | None = TAG_COUNT,
+    tag_count: int | None = None,
     min_similarity: float | None = MIN_SIMILARITY,
     block_tags: int | None = None,
 ) -> TagGraph:
-    """Graph over the first ``tag_count`` tags by id, ``None`` for all of them.
+    """Graph over all tags, or over the first ``tag_count`` of them by id.
 
     ``min_similarity=None`` asks for the complete graph, which needs a ``tag_count``.
     """
@@ -90,20 +90,34 @@ def tag_graph(
 
 
 def dangling_edges(graph: TagGraph) -> DataFrame:
-    """Edges with an end that is not a vertex.
+    """Edges with an end that is not a vertex or is null, as often as they occur.
 
     Ends are made distinct before they meet the vertices, so a hub is looked up once.
     """
+    columns = graph.edges.columns
+    edges = graph.edges.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
+    no_end = F.col("src").isNull() | F.col("dst").isNull()
+    whole = edges.filter(~no_end)
     ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     missing = ends.join(graph.vertices, "id", "left_anti")
     small = is_small(missing)
     by_src = lookup_join(
-        graph.edges, missing.withColumnRenamed("id", "src"), "src", salt_by="dst", small=small
+        whole, missing.withColumnRenamed("id", "src"), "src", salt_by="dst", small=small
     )
     by_dst = lookup_join(
-        graph.edges, missing.withColumnRenamed("id", "dst"), "dst", salt_by="src", small=small
+        whole, missing.withColumnRenamed("id", "dst"), "dst", salt_by="src", small=small
     )
-    return by_src.unionByName(by_dst).distinct()
+    found = by_src.unionByName(by_dst).distinct().unionByName(edges.filter(no_end))
+    times = F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))
+    return found.withColumn("_time", times).select(*columns)
+
+
+def valid_edges(graph: TagGraph, small: bool) -> DataFrame:
+    """``(src, dst)`` of the edges whose two ends are vertices."""
+    known = graph.vertices.select("id").distinct()
+    edges = graph.edges.select("src", "dst")
+    edges = lookup_join(edges, known.withColumnRenamed("id", "src"), "src", salt_by="dst", small=small)
+    return lookup_join(edges, known.withColumnRenamed("id", "dst"), "dst", salt_by="src", small=small)
 
 
 def connected_components(graph: TagGraph) -> DataFrame:
@@ -112,11 +126,13 @@ def connected_components(graph: TagGraph) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in
     MapReduce and Beyond" (2014), until no edge changes; the edges then point at the components.
     The number of rounds grows with the logarithm of the number of vertices, not with path length.
+    Edges with an end that is not a vertex connect nothing.
     """
     small = is_small(graph.vertices)
     # Each edge once, from the larger id to the smaller one.
     links = (
-        graph.edges.filter(F.col("src") != F.col("dst"))
+        valid_edges(graph, small)
+        .filter(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
         .distinct()
     )

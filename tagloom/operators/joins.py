@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_KEYS = 256
+#: A key is hot if it holds more than this share of what a shuffle partition gets on average.
+HOT_SHARE = 0.25
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -18,14 +19,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
-def hot_keys(facts: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
-    """The ``most`` most frequent keys of ``facts``.
+def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """All keys of ``facts`` with more than ``share`` of an average shuffle partition's rows.
 
-    Found by a count that combines before it shuffles.  Any other key holds less than one part in
-    ``most`` of the rows.
+    Found by a count that combines before it shuffles.  There are fewer of them than partitions divided
+    by ``share``, whatever the data, so they can be broadcast.
     """
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = facts.count() * share / partitions
     counts = facts.groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.orderBy(F.desc("_n"), key).limit(most).select(key)
+    return counts.filter((F.col("_n") > least) & (F.col("_n") > 1)).select(key)
 
 
 def lookup_join(
@@ -58,7 +61,7 @@ def salted_join(
     """Inner equi-join where the most frequent keys are spread over ``spread`` salts.
 
     Each fact of a hot key gets one salt, each look-up row of a hot key is repeated for every salt:
-    at most ``HOT_KEYS * spread`` extra rows per look-up row of a key.  By default there are as
+    at most ``spread`` rows for each look-up row of a hot key.  By default there are as
     many salts as shuffle partitions, so even a key on most rows fills them evenly.  The salt is a
     hash, so a retried task sends its rows to the same places.
     """

@@ -31,7 +31,6 @@ MIN_BLOCK_TAGS = 1024
 MAX_BLOCK_TAGS = 8192
 MAX_BLOCK_CELLS = MAX_BLOCK_TAGS * 1000
 STRIPE_ROWS = 512
-TAG_COUNT = 2000
 
 
 def find_tag(tags: DataFrame, name: str) -> int:
@@ -97,6 +96,10 @@ def _block_size(vectors: DataFrame, n_tags: int) -> int:
     return max(1, min(wanted, MAX_BLOCK_CELLS // width))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int | None):
     """Tags grouped by ``(low_block, high_block)``, every unordered pair of blocks once.
 
@@ -104,7 +107,13 @@ def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int | None):
     block takes part in, so a group holds two blocks, or one where a block meets itself.
     """
     n_tags = tags.count()
-    n_blocks = max(1, math.ceil(n_tags / (block_tags or _block_size(vectors, n_tags))))
+    if block_tags:
+        n_blocks = math.ceil(n_tags / block_tags)
+    else:
+        # Twice as many pairs of blocks as tasks, unless that makes blocks of a few tags.
+        wanted = math.ceil(math.sqrt(4 * _tasks(tags)))
+        n_blocks = max(math.ceil(n_tags / _block_size(vectors, n_tags)), min(wanted, n_tags // 16))
+    n_blocks = max(1, n_blocks)
     entries = F.collect_list(F.struct("term_idx", "weight"))
     rows = vectors.groupBy("tag_id").agg(entries.alias("_entries"))
     packed = tags.select("tag_id").join(rows, "tag_id", "left").select(
@@ -120,6 +129,9 @@ def _block_pairs(vectors: DataFrame, tags: DataFrame, block_tags: int | None):
         .withColumn("low_block", F.least("block", "_other"))
         .withColumn("high_block", F.greatest("block", "_other"))
         .drop("_other")
+        # The rows are few bytes but their products much work: the number of tasks is given, so that
+        # adaptive execution does not put all of them into one.
+        .repartition(max(n_blocks, _tasks(tags)), "low_block", "high_block")
         .groupBy("low_block", "high_block")
     )
 
@@ -198,7 +210,7 @@ def first_tags(tags: DataFrame, tag_count: int) -> DataFrame:
 def pairwise_cosine(
     vectors: DataFrame,
     tags: DataFrame,
-    tag_count: int = TAG_COUNT,
+    tag_count: int,
     block_tags: int | None = None,
 ) -> DataFrame:
     """The cosine matrix of the first ``tag_count`` tags in sparse form.

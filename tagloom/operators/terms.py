@@ -45,7 +45,7 @@ def normal_forms(
     """``terms`` with ``normal``: the stem of each term, then its lemma if the table has one.
 
     ``terms`` holds distinct terms, so each is stemmed once however often it occurs.  ``lemmas``
-    is a ``(term, lemma)`` table with one row per term.
+    is a ``(term, lemma)`` table; of several lemmas of a term the alphabetically first counts.
     """
     if stem:
         # Stemming costs far more per byte than a shuffle, and the few bytes of a term list would
@@ -59,7 +59,7 @@ def normal_forms(
         out = terms.withColumn("normal", F.col("term"))
     if lemmas is None:
         return out
-    table = lemmas.select(F.col("term").alias("normal"), "lemma")
+    table = lemmas.groupBy(F.col("term").alias("normal")).agg(F.min("lemma").alias("lemma"))
     return out.join(table, "normal", "left").select(
         *terms.columns, F.coalesce("lemma", "normal").alias("normal")
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.graph import (
     MIN_SIMILARITY,
-    TAG_COUNT,
     TagGraph,
     connected_components,
     label_propagation,
@@ -24,11 +23,11 @@ def staged(graph: TagGraph) -> TagGraph:
 def detect_communities(
     vectors: DataFrame,
     tags: DataFrame,
-    tag_count: int | None = TAG_COUNT,
+    tag_count: int | None = None,
     min_similarity: float | None = MIN_SIMILARITY,
     max_iter: int = 5,
 ) -> DataFrame:
-    """``(id, name, component, label)`` for the first ``tag_count`` tags."""
+    """``(id, name, component, label)`` for all tags, or the first ``tag_count`` of them."""
     graph = staged(tag_graph(vectors, tags, tag_count, min_similarity))
     labels = label_propagation(graph, max_iter).select("id", "label")
     return connected_components(graph).join(labels, "id").select(

@@ -254,3 +254,22 @@ def test_stems_match_the_algorithm_spelled_out(spark):
     df = spark.createDataFrame([(w, porter(w)) for w in words], "word string, want string")
     wrong = df.withColumn("got", TF.stem_word(F.col("word"))).filter("got is distinct from want")
     assert wrong.collect() == []
+
+
+def test_ends_of_any_white_space_go(spark):
+    texts = ["\n\tHello  ", "\xa0 Word two　", " \x1f\x85", "", "a\n b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    from tagloom.functions import normalize_text
+
+    got = {r["i"]: r["n"] for r in df.select("i", normalize_text(df["t"]).alias("n")).collect()}
+    want = {i: "".join(c if c < "\x80" else " " for c in t.strip().lower()) for i, t in enumerate(texts)}
+    assert got == want
+
+
+def test_separator_is_plain_text(spark):
+    from tagloom.functions import strip_markup
+
+    df = spark.createDataFrame([("<p>a</p><p>b</p>",)], "t string")
+    for mark in ("$", "\\", "$1", " "):
+        got = df.select(strip_markup(df["t"], mark).alias("x")).head()["x"]
+        assert got.replace(mark, "") == "ab" and mark in got

@@ -90,6 +90,17 @@ def test_dangling_edges(spark, small, monkeypatch):
     graph = make(spark, 3, [(0, 1), (1, 7), (8, 2), (8, 9), (2, 2)])
     got = sorted((r["src"], r["dst"]) for r in G.dangling_edges(graph).collect())
     assert got == [(1, 7), (8, 2), (8, 9)]
+    again = make(spark, 3, [(1, 7), (1, 7), (None, 2), (0, 1)])
+    got = [(r["src"], r["dst"]) for r in G.dangling_edges(again).collect()]
+    assert sorted(got, key=str) == [(1, 7), (1, 7), (None, 2)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_dangling_edges_connect_nothing(spark, small, monkeypatch):
+    monkeypatch.setattr(G, "is_small", lambda df: small)
+    graph = make(spark, 4, [(0, 9), (9, 1), (2, 3), (None, 0)])
+    got = {r["id"]: r["component"] for r in G.connected_components(graph).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
 def tag_frames(spark):
@@ -110,7 +121,7 @@ def test_tag_graph_modes(spark):
     assert [(r["src"], r["dst"]) for r in first.edges.collect()] == [(1, 2)]
     complete = {
         (r["src"], r["dst"]): r["weight"]
-        for r in G.tag_graph(vectors, tags, min_similarity=None).edges.collect()
+        for r in G.tag_graph(vectors, tags, tag_count=5, min_similarity=None).edges.collect()
     }
     assert len(complete) == 25
     assert complete[3, 3] == complete[3, 4] == complete[4, 3] == 1.0
@@ -127,7 +138,7 @@ def test_communities_end_to_end(spark):
     assert {k: v[1] for k, v in got.items()} == {
         k + 1: v + 1 for k, v in propagate(5, [(0, 1), (2, 3)], 5).items()
     }
-    complete = detect_communities(vectors, tags, min_similarity=None)
+    complete = detect_communities(vectors, tags, tag_count=5, min_similarity=None)
     summary = {
         r["method"]: r["communities"] for r in G.community_summary(complete, complete).collect()
     }

@@ -81,7 +81,7 @@ def test_all_pairs_in_blocks(spark, block_tags, monkeypatch):
         return out
 
     assert got(S.cosine_pairs(vectors, tags, None, block_tags)) == pairs
-    assert got(S.pairwise_cosine(vectors, tags, block_tags=block_tags)) == {
+    assert got(S.pairwise_cosine(vectors, tags, len(ids), block_tags=block_tags)) == {
         p: s for p, s in pairs.items() if s > 0
     }
     assert got(S.cosine_pairs(vectors, tags, 0.5, block_tags)) == {
