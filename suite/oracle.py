@@ -6,7 +6,14 @@ RE2, which has no possessive quantifiers and no back-references.
 
 from __future__ import annotations
 
-from suite.spark_queries import COMPLETE_TAGS, MIN_SIMILARITY, ORDER_TAG, QUERY_TAG, SCAN_LIMIT
+from suite.spark_queries import (
+    COMPLETE_TAGS,
+    MAX_POSTS,
+    MIN_SIMILARITY,
+    ORDER_TAG,
+    QUERY_TAG,
+    SCAN_LIMIT,
+)
 from tagloom.functions.stemming import IRREGULAR, STEP_1A, STEP_2, STEP_3, STEP_4
 from tagloom.functions.wordlists import (
     C1_CONTROLS,
@@ -152,14 +159,15 @@ PLAIN = f"{TOKENS}, tokens AS (SELECT post_id, word AS term FROM surface)"
 
 # The suffix-stripping stemmer over distinct words
 
-C = "[^aeiou][^aeiouy]*"
-V = "[aeiouy][aeiou]*"
-CONS = "(?:[^aeiouy]|[aeiou]y|[^aeiouy]yy)"
+# Consonantal "y" is written "Y".
+C = "[^aeiouy]+"
+V = "[aeiouy]+"
+CONS = "[^aeiouy]"
 GT0 = f"^[^aeiouy]*{V}{C}"
 EQ1 = f"^[^aeiouy]*{V}{C}(?:{V})?$"
 GT1 = f"^[^aeiouy]*{V}{C}{V}{C}"
-CVC = f"(?:{CONS}[aeiouy][^aeiouwxyY]$|^[aeiou][^aeiou]$)"
-TWIN = "(?:" + "|".join(x * 2 for x in "bcdfghjkmnpqrtvwx0123456789Y") + "|[^aeiouy]yy)$"
+CVC = f"(?:{CONS}[aeiouy][^aeiouwxyY]$|^[aeiouy][^aeiouy]$)"
+TWIN = "(?:" + "|".join(x * 2 for x in "bcdfghjkmnpqrtvwx0123456789") + "|yY)$"
 
 
 def cut(n: int) -> str:
@@ -189,7 +197,7 @@ def stem_steps() -> list[str]:
     )
     logi = f"CASE WHEN {ends('logi')} AND {has(3, GT0)} THEN {cut(1)} ELSE w END"
     return [
-        "regexp_replace(w, '^y', 'Y')",
+        "regexp_replace(regexp_replace(w, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g')",
         f"CASE WHEN {ends('ies')} AND length(w) = 4 THEN {cut(1)} "
         f"ELSE {suffixes(STEP_1A, lambda s: 'true')} END",
         f"CASE WHEN {ends('ied')} AND length(w) = 4 THEN {cut(1)} WHEN {ends('ied')} THEN {cut(2)} "
@@ -208,7 +216,7 @@ def stem_steps() -> list[str]:
         f"CASE WHEN {ends('e')} AND ({has(1, GT1)} OR ({has(1, EQ1)} AND NOT {has(1, CVC)})) "
         f"THEN {cut(1)} ELSE w END",
         f"CASE WHEN {ends('ll')} AND {has(1, GT1)} THEN {cut(1)} ELSE w END",
-        "regexp_replace(w, '^Y', 'y')",
+        "replace(w, 'Y', 'y')",
     ]
 
 
@@ -233,9 +241,9 @@ STEMMED = (
 )
 
 DOC_WORDS = (
-    f"doc_text AS (SELECT doc_id, {clean('text')} AS text FROM documents), "
+    f"doc_text AS MATERIALIZED (SELECT doc_id, {clean('text')} AS text FROM documents), "
     "doc_words AS (SELECT unnest(regexp_extract_all(text, '[a-z0-9]{2,}')) AS word FROM doc_text), "
-    "doc_totals AS (SELECT word, count(*) AS total FROM doc_words GROUP BY word)"
+    "doc_totals AS MATERIALIZED (SELECT word, count(*) AS total FROM doc_words GROUP BY word)"
 )
 PLURALS = (
     "plurals AS (SELECT word, left(word, length(word) - 1) AS lemma FROM doc_totals "
@@ -248,6 +256,20 @@ LEMMATIZED = (
 )
 
 
+
+
+def rewritten(pieces: str) -> str:
+    """CTEs ending in ``full_text (key, text)``: stems, then lemmas, of ``pieces (key, text)``."""
+    return (
+        f"texts AS MATERIALIZED ({pieces}), "
+        "placed AS (SELECT key, unnest(string_split(text, ' ')) AS word, "
+        "generate_subscripts(string_split(text, ' '), 1) AS pos FROM texts), "
+        f"{stems('placed')}, "
+        "full_text AS (SELECT key, string_agg(coalesce(p.lemma, s.stem), ' ' ORDER BY pos) AS text "
+        "FROM placed JOIN stems s USING (word) LEFT JOIN plurals p ON p.word = s.stem GROUP BY key)"
+    )
+
+
 # TF-IDF, similarity, graph
 
 VOCAB = """
@@ -306,6 +328,9 @@ EDGES = (
     "WHERE a IN (SELECT id FROM vertices) AND b IN (SELECT id FROM vertices) "
     f"AND a < b AND similarity >= {MIN_SIMILARITY})"
 )
+NAMED_VERTICES = (
+    "vertices AS (SELECT tag_id AS id, tag_name AS name FROM used WHERE tag_name LIKE '%-%')"
+)
 FIRST_VERTICES = (
     "vertices AS (SELECT tag_id AS id, tag_name AS name FROM used "
     f"ORDER BY id LIMIT {COMPLETE_TAGS})"
@@ -395,6 +420,14 @@ ORACLE: dict[str, str] = {
         "SELECT post_id, title, score FROM clean WHERE trim(title) <> '' AND trim(body) <> ''",
     ),
     "training_posts": sql(*CORPUS, "SELECT * FROM training"),
+    "training_posts_capped": sql(
+        *CORPUS, f"SELECT * FROM training ORDER BY post_id LIMIT {MAX_POSTS}"
+    ),
+    "load_corpus": sql(
+        FIXTURE,
+        "SELECT t.*, CASE WHEN t.title IS NOT NULL OR p.id IS NOT NULL THEN p.tags END AS tags "
+        "FROM text t LEFT JOIN tagged p ON p.id = t.post_id",
+    ),
     "corpus_semi_join": sql(
         *CORPUS,
         INDEX,
@@ -437,6 +470,24 @@ ORACLE: dict[str, str] = {
         stems("doc_totals"),
         "SELECT word AS term, total, stem AS normal FROM doc_totals JOIN stems USING (word)",
     ),
+    "clean_text_full": sql(
+        DOC_WORDS,
+        PLURALS,
+        rewritten("SELECT doc_id AS key, text FROM doc_text"),
+        "SELECT doc_id, f.text FROM documents LEFT JOIN full_text f ON f.key = doc_id",
+    ),
+    "preprocess_text_full": sql(
+        FIXTURE,
+        cleaned(),
+        DOC_WORDS,
+        PLURALS,
+        rewritten(
+            "SELECT 'b' || post_id AS key, body AS text FROM clean "
+            "UNION ALL SELECT 't' || post_id, title FROM clean"
+        ),
+        "SELECT post_id, b.text AS body, t.text AS title, score FROM clean "
+        "JOIN full_text b ON b.key = 'b' || post_id JOIN full_text t ON t.key = 't' || post_id",
+    ),
     "lemma_terms": sql(
         DOC_WORDS,
         PLURALS,
@@ -469,7 +520,8 @@ ORACLE: dict[str, str] = {
     "similar_tags_ranking": sql(
         *MODEL,
         ONE.format(name=lit(QUERY_TAG)),
-        "SELECT tag_id, tag_name, similarity FROM ranking",
+        "SELECT tag_id, tag_name, similarity, "
+        "CAST(row_number() OVER (ORDER BY similarity DESC, tag_id) AS INTEGER) AS rank FROM ranking",
     ),
     "similar_tags_from_store": sql(
         *MODEL,
@@ -517,6 +569,9 @@ ORACLE: dict[str, str] = {
     "connected_components": sql(
         *GRAPH, COMPONENTS, "SELECT id, name, component FROM vertices JOIN components USING (id)"
     ),
+    "components_with_dangling": sql(
+        *MODEL, COSINES, NAMED_VERTICES, EDGES, COMPONENTS, LABELS, BOTH
+    ),
     "cc_count": sql(
         *GRAPH, COMPONENTS, "SELECT count(DISTINCT component) AS components FROM components"
     ),

@@ -23,7 +23,9 @@ from tagloom.plans import (
     save_model,
     staged,
 )
+from tagloom.sources import load_corpus as load_tables
 from tagloom.sources import (
+    CorpusConfig,
     cap_rows,
     load_tag_dim,
     load_vectors,
@@ -38,6 +40,8 @@ QUERY_TAG = "en"
 ORDER_TAG = "Brand#11"
 MIN_SIMILARITY = 0.8
 SCAN_LIMIT = 100
+#: The cap of a trial run, which is what that query shows.
+MAX_POSTS = 50
 #: Complete matrices and graphs ask for fewer tags than there are.
 COMPLETE_TAGS = 30
 
@@ -67,6 +71,18 @@ def scan_limited(spark, sf_dir):
     return cap_rows(fixture.posts(spark, sf_dir), SCAN_LIMIT)
 
 
+@query
+def load_corpus(spark, sf_dir):
+    """The four corpus tables as files, read by the loader; their texts come back."""
+    path = new_location(spark, "corpus")
+    made = fixture.corpus(spark, sf_dir)
+    for name in ("posts", "tags", "excerpts", "wikis"):
+        getattr(made, name).write.parquet(f"{path}/{name}")
+    files = (f"{path}/{name}" for name in ("posts", "tags", "excerpts", "wikis"))
+    corpus = load_tables(spark, CorpusConfig(*files, fmt="parquet"))
+    return posts.build_post_text(corpus.posts, corpus.excerpts, corpus.wikis, carry=["tags"])
+
+
 @query
 def vector_store_roundtrip(spark, sf_dir):
     path = new_location(spark, "vectors")
@@ -121,6 +137,11 @@ def training_posts(spark, sf_dir):
     return posts.training_posts(_post_text(spark, sf_dir))
 
 
+@query
+def training_posts_capped(spark, sf_dir):
+    return posts.training_posts(_post_text(spark, sf_dir), max_posts=MAX_POSTS)
+
+
 @query
 def corpus_semi_join(spark, sf_dir):
     corpus = fixture.corpus(spark, sf_dir)
@@ -281,6 +302,21 @@ def _plurals(totals: DataFrame) -> DataFrame:
     return candidates.join(totals.select(F.col("term").alias("lemma")), "lemma", "left_semi")
 
 
+@query
+def clean_text_full(spark, sf_dir):
+    """The whole cleaner: markup to stop words, then stems, then lemmas, word by word in place."""
+    lemmas = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
+    return terms.normal_text(
+        _document_text(spark, sf_dir, TF.clean_text), ["text"], stem=True, lemmas=lemmas
+    )
+
+
+@query
+def preprocess_text_full(spark, sf_dir):
+    lemmas = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
+    return posts.preprocess_text(_post_text(spark, sf_dir), stem=True, lemmas=lemmas)
+
+
 @query
 def lemma_terms(spark, sf_dir):
     totals = stage(_document_totals(spark, sf_dir), "totals")
@@ -324,9 +360,7 @@ def _corpus_posts(spark, sf_dir) -> DataFrame:
 @query
 def smooth_idf(spark, sf_dir):
     model = fit_post_vectors(_corpus_posts(spark, sf_dir))
-    factors = spark.createDataFrame(list(enumerate(model.idf)), "term_idx int, idf double")
-    joined = model.vocabulary.table.join(factors, "term_idx")
-    return _rounded(joined.select("term", "term_idx", "idf"), "idf")
+    return _rounded(model.idf.select("term", "term_idx", "idf"), "idf")
 
 
 @query
@@ -454,6 +488,16 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(_graph(spark, sf_dir))
 
 
+@query
+def components_with_dangling(spark, sf_dir):
+    """Both algorithms on the graph of ``dangling_edges``: dangling edges connect nothing."""
+    whole = _graph(spark, sf_dir)
+    named = whole.vertices.filter(F.col("name").contains("-"))
+    part = graph.TagGraph(named, whole.edges)
+    labels = graph.label_propagation(part).select("id", "label")
+    return graph.connected_components(part).join(labels, "id")
+
+
 @query
 def cc_count(spark, sf_dir):
     groups = graph.connected_components(_graph(spark, sf_dir))

@@ -71,7 +71,8 @@ def _decode_reference(piece: Column, names: Column) -> Column:
     def decoded(ref: Column) -> Column:
         after = F.substring(piece, F.length(ref) + 1, F.length(piece))
         rest = F.when(after.startswith(";"), F.substring(after, 2, 2**30)).otherwise(after)
-        named = F.coalesce(F.element_at(names, ref), F.concat(F.lit("&"), ref))
+        same_letter = F.element_at(names, F.substring(ref, 1, 1))
+        named = F.coalesce(F.element_at(same_letter, ref), F.concat(F.lit("&"), ref))
         return (
             F.when(ref == "", F.concat(F.lit("&"), piece))
             .when(ref.startswith("#"), F.concat(numeric(ref), rest))
@@ -86,9 +87,12 @@ def decode_entities(text: Column, entities: Mapping[str, str] | None = None) ->
 
     An unknown name stays as text without its semicolon.  Rows without ``&`` skip the work.
     """
-    table = HTML_ENTITIES if entities is None else entities
+    # By first letter, because a map is searched from its start.
+    table: dict[str, dict[str, str]] = {}
+    for name, character in (HTML_ENTITIES if entities is None else entities).items():
+        table.setdefault(name[:1], {})[name] = character
     # A constant JSON text is folded into one literal map when the plan is optimised.
-    names = F.from_json(F.lit(json.dumps(dict(table))), "map<string,string>")
+    names = F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>")
 
     def decode(bare: Column) -> Column:
         return let(

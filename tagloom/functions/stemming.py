@@ -14,20 +14,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word is [C](VC){m}[V].  "y" is a vowel after a consonant and a consonant elsewhere; a leading
-# "y" is written "Y" while the steps run, so that the classes below need no look-behind.
-C = "[^aeiou][^aeiouy]*"
-V = "[aeiouy][aeiou]*"
-HEAD = "^[^aeiouy]*"
-M_GT_0 = f"{HEAD}{V}{C}"
-M_EQ_1 = f"{HEAD}{V}{C}(?:{V})?$"
-M_GT_1 = f"{HEAD}{V}{C}{V}{C}"
-HAS_VOWEL = f"{HEAD}[aeiouy]"
-# A consonant at the end: any but y, or a y that follows a vowel.
-CONSONANT = "(?:[^aeiouy]|[aeiou]y|[^aeiouy]yy)"
+# A word is [C](VC){m}[V].  "y" is a vowel after a consonant and a consonant elsewhere, so a run of
+# them alternates.  The consonants among them are written "Y" while the steps run: whether a letter is
+# one depends on the letters before it alone, and no step changes those.
+C = "[^aeiouy]"
+V = "[aeiouy]"
+M_GT_0 = f"^{C}*{V}+{C}"
+M_EQ_1 = f"^{C}*{V}+{C}+{V}*$"
+M_GT_1 = f"^{C}*{V}+{C}+{V}+{C}"
+HAS_VOWEL = V
 # Consonant-vowel-consonant at the end, the last not w, x or y; or a two-letter vowel-consonant.
-CVC = f"{CONSONANT}[aeiouy][^aeiouwxyY]$|^[aeiou][^aeiou]$"
-DOUBLE = "(?:([^aeiouylsz])\\1|[^aeiouy]yy)$"
+CVC = f"{C}{V}[^aeiouywxY]$|^{V}{C}$"
+# A consonant twice, l, s and z apart; of two "y" at the end the last may be the consonant.
+DOUBLE = "(?:([^aeiouylsz])\\1|yY)$"
 
 # The published suffix rules, in the order they are tried.
 STEP_1A = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", ""))
@@ -157,7 +156,7 @@ def _step_1b_clean(w: Column) -> Column:
 def _step_1c(w: Column) -> Column:
     stem = _cut(w, 1)
     # The letter before the y must be a consonant, and not be the first letter.
-    consonant_end = stem.rlike(f"{CONSONANT}$") & (F.length(stem) > 1)
+    consonant_end = stem.rlike(f"{C}$") & (F.length(stem) > 1)
     return F.when(w.endswith("y") & consonant_end, F.concat(stem, F.lit("i"))).otherwise(w)
 
 
@@ -198,7 +197,7 @@ def _step_5b(w: Column) -> Column:
 
 
 _STEPS = (
-    lambda w: F.regexp_replace(w, "^y", "Y"),
+    lambda w: F.regexp_replace(F.regexp_replace(w, "(^|[aeiou])y", "$1Y"), "yy", "yY"),
     _step_1a,
     _step_1b,
     _step_1b_clean,
@@ -209,7 +208,7 @@ _STEPS = (
     _step_4,
     _step_5a,
     _step_5b,
-    lambda w: F.regexp_replace(w, "^Y", "y"),
+    lambda w: F.translate(w, "Y", "y"),
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 # The English stop words of the public NLTK "stopwords" corpus, in its own order.
 ENGLISH_STOP_WORDS: tuple[str, ...] = tuple(
@@ -21,9 +21,8 @@ ENGLISH_STOP_WORDS: tuple[str, ...] = tuple(
     """.split()
 )
 
-# The HTML 4 entity names from the standard library, and the one name XHTML adds to them.
-HTML_ENTITIES: dict[str, str] = {name: chr(code) for name, code in sorted(name2codepoint.items())}
-HTML_ENTITIES["apos"] = "'"
+# The HTML 5 entity names from the standard library, without their semicolons.
+HTML_ENTITIES: dict[str, str] = {name.removesuffix(";"): text for name, text in sorted(html5.items())}
 
 # References to 128..159 mean Windows-1252 characters; the five unassigned codes stay as they are.
 C1_CONTROLS = "".join(chr(code) for code in range(128, 160))

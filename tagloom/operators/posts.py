@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.cleaning import clean_text
 from tagloom.functions.stemming import stem_text
+from tagloom.operators.terms import normal_text
 
 
 def tagged_posts(posts: DataFrame) -> DataFrame:
@@ -51,9 +52,12 @@ def nonblank_text(text: DataFrame) -> DataFrame:
 
 
 def preprocess_text(
-    text: DataFrame, stop_words: Sequence[str] | None = None, stem: bool = False
+    text: DataFrame,
+    stop_words: Sequence[str] | None = None,
+    stem: bool = False,
+    lemmas: DataFrame | None = None,
 ) -> DataFrame:
-    """Drop untitled rows and clean title and body, optionally stemming every word in place.
+    """Drop untitled rows and clean title and body; stem and lemmatise every word in place if asked.
 
     The cleaned pair comes out of an ``inline`` of one struct.  A later filter on cleaned text
     would otherwise be pushed below the projection and clean every row a second time.
@@ -61,11 +65,12 @@ def preprocess_text(
 
     def cleaned(name: str):
         out = clean_text(F.col(name), stop_words)
-        return (stem_text(out) if stem else out).alias(name)
+        return (stem_text(out) if stem and lemmas is None else out).alias(name)
 
     rest = [c for c in text.columns if c not in ("title", "body")]
     pair = F.inline(F.array(F.struct(cleaned("title"), cleaned("body"))))
-    return drop_untitled(text).select(*rest, pair).select(*text.columns)
+    clean = drop_untitled(text).select(*rest, pair).select(*text.columns)
+    return clean if lemmas is None else normal_text(clean, ["title", "body"], stem, lemmas)
 
 
 def training_posts(

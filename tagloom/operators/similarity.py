@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.vectors import unit_length
+from tagloom.sources.staging import stage
 
 # The block functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -75,19 +76,41 @@ def similar_tags(
 ) -> DataFrame:
     """Tags by falling similarity to the named one, equal ones by id.
 
-    With ``k`` the best ``k`` come back with their ``rank``; the ranking window sees only those
-    ``k`` rows.  ``k=None`` gives the whole ordered list without ranks.
+    The best ``k`` come back with their ``rank``; the ranking window sees only those ``k`` rows.
+    ``k=None`` gives the whole ordered list with ranks, numbered partition by partition.
     """
     scored = similarities_to(vectors, tags, name)
     if not include_self:
         scored = scored.filter(F.col("tag_name") != name)
     order = [F.desc("similarity"), F.asc("tag_id")]
     if k is None:
-        return scored.orderBy(*order)
+        return _numbered(scored.orderBy(*order))
     best = scored.orderBy(*order).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """``ordered`` with ``rank``, its position; no task sees more than one partition of the sort.
+
+    Rows are marked with their partition and place in it.  They are staged, because the sizes of the
+    partitions, one row each, must belong to the same sort.
+    """
+    marked = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranking")
+    marked = marked.withColumn("_part", F.shiftright("_at", 33))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (
+        marked.join(F.broadcast(offsets), "_part")
+        .withColumn("rank", (F.col("_before") + place).cast("int"))
+        .drop("_at", "_part", "_before")
+        .orderBy("rank")
+    )
+
+
 def _block_size(vectors: DataFrame, n_tags: int) -> int:
     """Tags per block: few enough blocks, and a dense block that fits a task for any vocabulary."""
     last = vectors.agg(F.max("term_idx")).head()[0]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.cleaning import clean_tokens, tokens
 from tagloom.functions.stemming import stem_word
+from tagloom.operators.joins import lookup_join
+from tagloom.sources.staging import stage
 
 
 def with_words(posts: DataFrame, column: str = "body", cleaned: bool = False) -> DataFrame:
@@ -65,6 +67,45 @@ def normal_forms(
     )
 
 
+def normal_text(
+    texts: DataFrame, columns: list[str], stem: bool = True, lemmas: DataFrame | None = None
+) -> DataFrame:
+    """``texts`` with every word of the space-separated ``columns`` replaced by its normal form.
+
+    Words stay in their order; null gives an empty text.  Each distinct word is stemmed and looked up
+    once, each distinct row of texts is rewritten once, and a frequent word is spread over tasks.
+    """
+
+    def placed(number: int, column: str):
+        split = F.split(F.coalesce(F.col(column), F.lit("")), " ")
+        return F.transform(
+            F.filter(split, lambda w: w != ""),
+            lambda w, i: F.struct(F.lit(number).alias("_c"), i.alias("_i"), w.alias("term")),
+        )
+
+    keyed = texts.withColumn("_row", F.md5(F.to_json(F.struct(*columns))))
+    every = F.concat(*(placed(n, c) for n, c in enumerate(columns)))
+    exploded = (
+        keyed.select("_row", *columns)
+        .dropDuplicates(["_row"])
+        .select("_row", F.explode_outer(every).alias("_w"))
+    )
+    words = stage(exploded.filter(F.col("_w").isNotNull()).select("_row", "_w.*"), "words")
+    forms = stage(normal_forms(words.select("term").distinct(), stem, lemmas), "forms")
+    entry = F.sort_array(F.collect_list(F.struct("_c", "_i", "normal")))
+    packed = (
+        lookup_join(words, forms, "term", salt_by="_row").groupBy("_row").agg(entry.alias("_e"))
+    )
+
+    def joined(number: int):
+        own = F.filter("_e", lambda e: e["_c"] == number)
+        return F.coalesce(F.array_join(F.transform(own, lambda e: e["normal"]), " "), F.lit(""))
+
+    rewritten = packed.select("_row", *(joined(n).alias(f"_t{n}") for n in range(len(columns))))
+    place = {c: F.coalesce(f"_t{n}", F.lit("")).alias(c) for n, c in enumerate(columns)}
+    return keyed.join(rewritten, "_row", "left").select(*(place.get(c, c) for c in texts.columns))
+
+
 def vocabulary(totals: DataFrame, size: int = 1000) -> DataFrame:
     """``(term, total, term_idx)``: the ``size`` most frequent terms, numbered alphabetically.
 

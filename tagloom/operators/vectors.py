@@ -7,7 +7,6 @@ only thing that travels is one sum per map task, tag and term.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -125,53 +124,78 @@ def _count_by_join(posts: DataFrame, vocab: Vocabulary, keep: list[str]) -> Data
     """The same counts by joining tokens with the forms, for any number of forms.
 
     Frequent words are salted; a post's terms are regrouped into arrays no longer than the
-    vocabulary.
+    vocabulary.  A post id may repeat: counts follow from the words alone, so rows of one id are told
+    apart by a digest of their words, and a pseudo term counts the rows that share both.
     """
-    joined = salted_join(tokenize(posts), vocab.forms, "term", salt_by="post_id")
-    counts = joined.groupBy("post_id", "term_idx").agg(F.count("*").cast("double").alias("value"))
-    entry = F.sort_array(F.collect_list(F.struct("term_idx", "value")))
-    packed = counts.groupBy("post_id").agg(entry.alias("_entries"))
-    entries = F.coalesce(
-        F.col("_entries"), F.array().cast("array<struct<term_idx:int,value:double>>")
+    known = F.coalesce("words", F.array().cast("array<string>"))
+    keyed = posts.withColumn("_words", known).withColumn(
+        "_digest", F.md5(F.array_join("_words", " "))
     )
+    words = keyed.select("post_id", "_digest", F.explode_outer("_words").alias("term"))
+    joined = salted_join(
+        words.filter(F.col("term").isNotNull()), vocab.forms, "term", salt_by="post_id"
+    )
+    rows = keyed.select("post_id", "_digest", F.lit(POSTS).alias("term_idx"))
+    counts = (
+        joined.select("post_id", "_digest", "term_idx")
+        .unionByName(rows)
+        .groupBy("post_id", "_digest", "term_idx")
+        .agg(F.count("*").alias("_n"))
+    )
+    # The pseudo term is the smallest index, so it comes first.
+    entry = F.sort_array(F.collect_list(F.struct("term_idx", "_n")))
+    packed = counts.groupBy(F.col("post_id").alias("_id"), F.col("_digest").alias("_key")).agg(
+        entry.alias("_entries")
+    )
+    same = keyed["post_id"].eqNullSafe(packed["_id"]) & (keyed["_digest"] == packed["_key"])
+    found = keyed.join(packed, same).select(
+        *keep,
+        F.element_at("_entries", 1)["_n"].alias("_rows"),
+        F.slice("_entries", F.lit(2), F.size("_entries")).alias("_entries"),
+    )
+    return found.select(
+        *keep,
+        F.col("_entries.term_idx").alias("term_idx"),
+        F.transform("_entries", lambda e: (e["_n"] / F.col("_rows")).cast("double")).alias("value"),
+    )
+
+
+def document_frequencies(counted: DataFrame) -> DataFrame:
+    """``(term_idx, df)``: in how many posts each term is; the pseudo term ``POSTS`` is in all."""
     return (
-        posts.select(*keep)
-        .join(packed, "post_id", "left")
-        .withColumn("_entries", entries)
-        .select(
-            *keep,
-            F.col("_entries.term_idx").alias("term_idx"),
-            F.col("_entries.value").alias("value"),
-        )
+        counted.select(F.explode(F.array_append("term_idx", POSTS)).alias("term_idx"))
+        .groupBy("term_idx")
+        .agg(F.count("*").alias("df"))
     )
 
 
-def document_frequencies(counted: DataFrame, vocab: Vocabulary) -> tuple[int, list[int]]:
-    """The number of posts, and for each term the number of posts that hold it.
+def smooth_idf(counted: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(term, term_idx, df, idf)``, idf being ``ln((1 + n) / (1 + df)) + 1`` for ``n`` posts.
 
-    One pass; the answer has one entry per vocabulary term, so it fits the driver by construction.
+    One pass over the counts.  The window and the frame, which is held by the driver, have one row per
+    vocabulary term.
     """
+    of_posts = F.max(F.when(F.col("term_idx") == POSTS, F.col("df"))).over(Window.partitionBy())
+    n, df = F.coalesce("_n", F.lit(0)), F.coalesce("df", F.lit(0)).cast("bigint")
     rows = (
-        counted.select(F.explode(F.array_append("term_idx", POSTS)).alias("term_idx"))
-        .groupBy("term_idx")
-        .agg(F.count("*").alias("n"))
+        vocab.table.select("term", "term_idx")
+        .join(document_frequencies(counted), "term_idx", "full")
+        .withColumn("_n", of_posts)
+        .filter(F.col("term").isNotNull())
+        .select("term", "term_idx", df.alias("df"), (F.log((1 + n) / (1 + df)) + 1).alias("idf"))
         .collect()
     )
-    found = {r["term_idx"]: r["n"] for r in rows}
-    return found.get(POSTS, 0), [found.get(i, 0) for i in range(len(vocab.terms))]
-
-
-def smooth_idf(counted: DataFrame, vocab: Vocabulary) -> list[float]:
-    """``ln((1 + n) / (1 + df)) + 1`` per term, in index order."""
-    n, df = document_frequencies(counted, vocab)
-    return [math.log((1 + n) / (1 + d)) + 1.0 for d in df]
+    return counted.sparkSession.createDataFrame(
+        sorted(rows, key=lambda r: r["term_idx"]), "term string, term_idx int, df bigint, idf double"
+    )
 
 
-def tfidf(counted: DataFrame, idf: Sequence[float]) -> DataFrame:
-    """Counts times idf."""
-    if not idf:
+def tfidf(counted: DataFrame, idf: DataFrame) -> DataFrame:
+    """Counts times the idf of ``smooth_idf``, which becomes one constant array."""
+    rows = idf.select("term_idx", "idf").collect()  # one row per vocabulary term
+    if not rows:
         return counted
-    factors = _literal([repr(x) for x in idf], "double")
+    factors = _literal([repr(r["idf"]) for r in sorted(rows)], "double")
     weighted = F.zip_with("value", "term_idx", lambda tf, i: tf * F.get(factors, i))
     return counted.withColumn("value", weighted)
 

@@ -44,10 +44,10 @@ class TagModel:
 
 @dataclass(frozen=True)
 class PostModel:
-    """Post vectors: ``posts`` carries ``term_idx`` and ``value`` arrays, ``idf`` one per term."""
+    """Post vectors: ``posts`` carries ``term_idx`` and ``value`` arrays, ``idf`` is ``smooth_idf``."""
 
     posts: DataFrame
-    idf: list[float]
+    idf: DataFrame
     vocabulary: Vocabulary
 
 

@@ -1,4 +1,10 @@
-from tagloom.sources.staging import cut_lineage, new_location, shared_dir, stage
+from tagloom.sources.staging import (
+    cut_lineage,
+    new_location,
+    scratch_space,
+    shared_dir,
+    stage,
+)
 from tagloom.sources.store import (
     load_tag_dim,
     load_vectors,
@@ -36,6 +42,7 @@ __all__ = [
     "read_table",
     "save_tag_dim",
     "save_vectors",
+    "scratch_space",
     "shared_dir",
     "stage",
     "tag_dim",

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -34,7 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_location(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/tagloom/{uuid.uuid4().hex}/{label}"
+    base = _SCRATCH.get() or f"{shared_dir(spark).rstrip('/')}/tagloom"
+    return f"{base}/{uuid.uuid4().hex}/{label}"
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[str]:
+    """Own what is staged and checkpointed inside the ``with`` block, and delete it at its end.
+
+    Frames are lazy: write the results that are to stay, elsewhere, before the block ends.  Blocks may
+    be nested; each owns what its own code makes.
+    """
+    context = spark.sparkContext
+    base = new_location(spark, "scratch")
+    before = context.getCheckpointDir()
+    token = _SCRATCH.set(base)
+    context.setCheckpointDir(f"{base}/checkpoints")
+    try:
+        yield base
+    finally:
+        _SCRATCH.reset(token)
+        context.setCheckpointDir(before)
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -3,13 +3,20 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import terms as TM
 from tagloom.operators import vectors as V
-from tagloom.plans import fit_post_vectors, fit_tag_vectors
+from tagloom.plans import (
+    detect_communities,
+    fit_post_vectors,
+    fit_tag_vectors,
+    load_model,
+    save_model,
+)
 from tagloom.sources import (
     POSTS_SCHEMA,
     TAGS_SCHEMA,
@@ -20,6 +27,7 @@ from tagloom.sources import (
     new_location,
     save_tag_dim,
     save_vectors,
+    scratch_space,
     shared_dir,
 )
 
@@ -97,6 +105,51 @@ def test_many_forms_are_counted_by_join_with_the_same_result(spark):
     assert joined == in_row and any(not v for v in joined.values())
 
 
+def test_both_ways_of_counting_allow_repeated_ids(spark):
+    posts = [(1, ["run", "runs"]), (1, ["run"]), (1, ["run"]), (2, ["run"]), (2, []), (None, ["run"])]
+    df = spark.createDataFrame(posts, "post_id bigint, words array<string>")
+    vocab = V.fit_vocabulary(df, 4, stem=True)
+
+    def rows(packed):
+        found = packed.select("post_id", "term_idx", "value").collect()
+        return sorted((r["post_id"] or 0, list(r["term_idx"]), list(r["value"])) for r in found)
+
+    in_row = rows(V.count_vectors(df, vocab))
+    assert in_row == rows(V.count_vectors(df, vocab, max_forms=1))
+    assert [v for _, _, v in in_row] == [[1.0], [1.0], [1.0], [2.0], [], [1.0]]
+
+
+def test_idf_is_a_column(spark):
+    df = spark.createDataFrame([(1, ["aa", "bb"]), (2, ["aa"])], "post_id bigint, words array<string>")
+    idf = fit_post_vectors(df).idf.orderBy("term_idx").collect()
+    assert [(r["term"], r["term_idx"], r["df"]) for r in idf] == [("aa", 0, 2), ("bb", 1, 1)]
+    assert [r["idf"] for r in idf] == pytest.approx([1.0, math.log(3 / 2) + 1])
+
+
+def test_words_are_rewritten_in_place(spark):
+    texts = [(1, "cats running cats", None), (1, "cats running cats", None), (2, "", "dogs"), (3, "a b", "")]
+    df = spark.createDataFrame(texts, "post_id bigint, body string, title string")
+    # Of two lemmas of a word the alphabetically first counts.
+    lemmas = spark.createDataFrame([("cat", "feline"), ("cat", "zz")], "term string, lemma string")
+    got = TM.normal_text(df, ["title", "body"], stem=True, lemmas=lemmas)
+    assert got.columns == df.columns
+    first = (1, "feline run feline", "")
+    assert sorted(tuple(r) for r in got.collect()) == [first, first, (2, "", "dog"), (3, "a b", "")]
+    assert TM.normal_text(df.limit(0), ["body"], lemmas=lemmas).count() == 0
+
+
+def test_scratch_space_leaves_nothing_behind(spark, tmp_path):
+    with scratch_space(spark) as folder:
+        model = fit_tag_vectors(small_corpus(spark), stem=False)
+        assert detect_communities(model.vectors, model.tags).count() == 3
+        save_model(model, str(tmp_path / "model"))
+        local = Path(folder.removeprefix("file:"))
+        assert local.is_dir() and any(local.rglob("*.parquet")) and any(local.rglob("rdd-*"))
+    assert not local.exists()
+    assert load_model(spark, str(tmp_path / "model")).tags.count() == 3
+    assert not new_location(spark, "t").startswith(folder)
+
+
 def test_empty_corpus_and_words_outside_the_vocabulary(spark):
     none = spark.createDataFrame([], "post_id bigint, words array<string>")
     assert fit_post_vectors(none).posts.count() == 0
