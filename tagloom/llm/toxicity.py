@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -92,9 +94,16 @@ class Lexicon:
             if last + 1 < len(folded) and folded[last + 1].isalnum():
                 continue
             (excused if weight is None else found).append((first, last, weight))
-        total = sum(
-            w for a, b, w in found if not any(c <= a and b <= d for c, d, _ in excused)
-        ) if excused else sum(w for _, _, w in found)
+        # The furthest end among the phrases that begin at or before each one, so that a long text with
+        # many matches takes one search per match.
+        excused.sort()
+        begins = [c for c, _, _ in excused]
+        ends = list(accumulate((d for _, d, _ in excused), max))
+        total = 0.0
+        for first, last, weight in found:
+            at = bisect_right(begins, first)
+            if not at or ends[at - 1] < last:
+                total += weight
         return total, length
 
     @staticmethod
