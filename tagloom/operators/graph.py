@@ -16,8 +16,6 @@ from tagloom.operators.joins import hot_keys, is_small, lookup_join
 from tagloom.operators.similarity import cosine_pairs, first_tags
 from tagloom.sources.staging import cut_lineage
 
-MIN_SIMILARITY = 0.8
-
 
 @dataclass(frozen=True)
 class TagGraph:
@@ -30,7 +28,7 @@ class TagGraph:
 def similarity_edges(
     vectors: DataFrame,
     tags: DataFrame,
-    min_similarity: float = MIN_SIMILARITY,
+    min_similarity: float,
     block_tags: int | None = None,
 ) -> DataFrame:
     """``(src, dst, weight)``, ``src < dst``, for pairs at least ``min_similarity`` similar."""
@@ -68,7 +66,8 @@ def tag_graph(
     vectors: DataFrame,
     tags: DataFrame,
     tag_count: int | None = None,
-    min_similarity: float | None = MIN_SIMILARITY,
+    *,
+    min_similarity: float | None,
     block_tags: int | None = None,
 ) -> TagGraph:
     """Graph over all tags, or over the first ``tag_count`` of them by id.

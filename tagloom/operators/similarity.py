@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,9 +205,10 @@ def cosine_pairs(
     does, those with similarity 0 too: a complete matrix, so bound the number of tags first.
     """
 
-    def pairs(key, group):
-        left, right, same = _blocks(key, group)
-        found = [arrow_schema.empty_table()]
+    def pairs(
+        key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        left, right, same = _blocks(key, pa.Table.from_batches(group))
         for rows, columns, cosines in _stripes(left, right):
             wanted = cosines >= (-1.0 if min_similarity is None else min_similarity)
             if same:
@@ -214,8 +216,10 @@ def cosine_pairs(
             i, j = np.nonzero(wanted)
             a, b = rows[i], columns[j]
             ends = {"src": np.minimum(a, b), "dst": np.maximum(a, b)}
-            found.append(pa.table(ends | {"similarity": cosines[i, j]}, schema=arrow_schema))
-        return pa.concat_tables(found)
+            # Stripe by stripe, so that a task never holds all pairs of its blocks.
+            yield pa.RecordBatch.from_pydict(
+                ends | {"similarity": cosines[i, j]}, schema=arrow_schema
+            )
 
     arrow_schema = pa.schema(
         [("src", pa.int64()), ("dst", pa.int64()), ("similarity", pa.float64())]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.graph import (
-    MIN_SIMILARITY,
     TagGraph,
     connected_components,
     label_propagation,
@@ -24,11 +23,12 @@ def detect_communities(
     vectors: DataFrame,
     tags: DataFrame,
     tag_count: int | None = None,
-    min_similarity: float | None = MIN_SIMILARITY,
+    *,
+    min_similarity: float | None,
     max_iter: int = 5,
 ) -> DataFrame:
     """``(id, name, component, label)`` for all tags, or the first ``tag_count`` of them."""
-    graph = staged(tag_graph(vectors, tags, tag_count, min_similarity))
+    graph = staged(tag_graph(vectors, tags, tag_count, min_similarity=min_similarity))
     labels = label_propagation(graph, max_iter).select("id", "label")
     return connected_components(graph).join(labels, "id").select(
         "id", "name", F.col("component"), F.col("label")

@@ -141,7 +141,7 @@ def test_words_are_rewritten_in_place(spark):
 def test_scratch_space_leaves_nothing_behind(spark, tmp_path):
     with scratch_space(spark) as folder:
         model = fit_tag_vectors(small_corpus(spark), stem=False)
-        assert detect_communities(model.vectors, model.tags).count() == 3
+        assert detect_communities(model.vectors, model.tags, min_similarity=0.5).count() == 3
         save_model(model, str(tmp_path / "model"))
         local = Path(folder.removeprefix("file:"))
         assert local.is_dir() and any(local.rglob("*.parquet")) and any(local.rglob("rdd-*"))
