@@ -159,10 +159,11 @@ def components_of(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
-    """``doc_id, row_key, fp, component_id`` of every row.
+    """``doc_id, row_key, fp, component, component_id`` of every row.
 
-    Rows link when their fingerprints differ in ``threshold`` bits or fewer; ``component_id`` is the
-    smallest ``doc_id`` reachable, null only if no row of the component has an id.  Null, empty and blank
+    Rows link when their fingerprints differ in ``threshold`` bits or fewer; ``component`` is the
+    smallest fingerprint reachable, and ``component_id`` the smallest ``doc_id``, null only if no row of
+    the component has an id.  Only ``component`` tells components apart.  Null, empty and blank
     texts have fingerprint zero and link like any other.  Repeated rows are linked to each other.
     ``row_key`` tells rows of one id apart.  An empty table gives an empty result.
     """
@@ -178,8 +179,8 @@ def near_duplicates(
         "component", F.coalesce("component", "fp")
     )
     smallest = owned.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    answer = owned.join(smallest, "component").select("fp", "component_id")
-    return rows.join(answer, "fp").select("doc_id", "row_key", "fp", "component_id")
+    answer = owned.join(smallest, "component").select("fp", "component", "component_id")
+    return rows.join(answer, "fp").select("doc_id", "row_key", "fp", "component", "component_id")
 
 
 def component_report(docs: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -
     go.
     """
     found = near_duplicates(docs, size, threshold)
-    stays = found.groupBy("component_id").agg(
+    stays = found.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("_s")
     )
     kept = docs.withColumn("_row_key", row_key())

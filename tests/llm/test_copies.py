@@ -150,6 +150,13 @@ def test_keep_one(docs, rows):
     assert kept.count() == len(groups)
 
 
+def test_keep_one_tells_components_apart(spark):
+    texts = ["one two three four five", "red green blue black white", "north east south west here"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, "sun moon star sky rain")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept) == Counter(set(rows))
+
+
 def brute_repeats(rows, size=100):
     distinct = sorted({(order(i), xx(t) if t is not None else 42, t or "") for i, t in rows})
     seen, result = set(), {}
