@@ -11,6 +11,8 @@ Copies disappear before that: only distinct fingerprints are covered, so a text
 one fingerprint.  The comparison is an equi-join on the anchor with the Hamming distance as its further
 condition; a crowded anchor is split by the adaptive skew join, and only real links leave it.  Linked
 fingerprints form components by large-star and small-star rounds.
+
+Near copies for the pipeline's stage are linked by ``near``, not by these fingerprints.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.llm import near
 from tagloom.llm.common import arrow_bytes, row_key, with_columns
 from tagloom.operators.graph import TagGraph, connected_components
 from tagloom.sources.staging import stage
@@ -137,35 +140,50 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     homes = prints.select("fp").mapInArrow(send, "anchor long, fp long, home boolean")
     homes = homes.filter("home").select("anchor", F.col("fp").alias("at_home"))
     # Either of two linked fingerprints visits the home of the other; one direction is enough.
-    near = (F.col("at_home") < F.col("fp")) & (
+    close = (F.col("at_home") < F.col("fp")) & (
         F.bit_count(F.col("at_home").bitwiseXOR(F.col("fp"))) <= threshold
     )
     return (
         sent.join(homes, "anchor")
-        .filter(near)
+        .filter(close)
         .select(F.col("at_home").alias("src"), F.col("fp").alias("dst"))
         .distinct()
     )
 
 
-def components_of(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``(fp, component)`` for fingerprints with a link: the smallest fingerprint reachable."""
-    links = stage(near_pairs(prints, threshold), "links")
+def linked_components(links: DataFrame) -> DataFrame:
+    """``(fp, component)`` for the ends of ``links (src, dst)``: the smallest end reachable."""
     ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     graph = TagGraph(ends.withColumn("name", F.lit("")), links.withColumn("weight", F.lit(1.0)))
     return connected_components(graph).select(F.col("id").alias("fp"), "component")
 
 
-def near_duplicates(
+def components_of(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``(fp, component)`` for fingerprints with a link: the smallest fingerprint reachable."""
+    return linked_components(stage(near_pairs(prints, threshold), "links"))
+
+
+def with_components(rows: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, row_key, fp, component, component_id`` of every row.
+
+    ``component_id`` is the smallest ``doc_id`` of the component, null only if none of its rows has an
+    id.  Only ``component`` tells components apart.
+    """
+    owned = prints.select("fp", "first_id").join(found, "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+    smallest = owned.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    answer = owned.join(smallest, "component").select("fp", "component", "component_id")
+    return rows.join(answer, "fp").select("doc_id", "row_key", "fp", "component", "component_id")
+
+
+def close_prints(
     docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
-    """``doc_id, row_key, fp, component, component_id`` of every row.
+    """``with_components`` of rows that link when their fingerprints differ in ``threshold`` bits or fewer.
 
-    Rows link when their fingerprints differ in ``threshold`` bits or fewer; ``component`` is the
-    smallest fingerprint reachable, and ``component_id`` the smallest ``doc_id``, null only if no row of
-    the component has an id.  Only ``component`` tells components apart.  Null, empty and blank
-    texts have fingerprint zero and link like any other.  Repeated rows are linked to each other.
-    ``row_key`` tells rows of one id apart.  An empty table gives an empty result.
+    Null, empty and blank texts have fingerprint zero and link like any other.  Repeated rows are linked
+    to each other.  ``row_key`` tells rows of one id apart.  An empty table gives an empty result.
     """
     rows = stage(
         fingerprints(docs.select("doc_id", "text"), size).select(
@@ -174,29 +192,36 @@ def near_duplicates(
         "fingerprints",
     )
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    found = components_of(prints, threshold)
-    owned = prints.join(found, "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    smallest = owned.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    answer = owned.join(smallest, "component").select("fp", "component", "component_id")
-    return rows.join(answer, "fp").select("doc_id", "row_key", "fp", "component", "component_id")
+    return with_components(rows, prints, components_of(prints, threshold))
 
 
 def component_report(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row, the fingerprint as 16 hexadecimal digits."""
-    return near_duplicates(docs).select(
+    return close_prints(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``with_components`` of rows that link when their texts are near copies by ``near.near_links``."""
+    rows = near.sketches(docs)
+    prints = stage(
+        rows.groupBy("fp").agg(
+            F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.any_value("bands").alias("bands")
+        ),
+        "prints",
+    )
+    found = linked_components(near.near_links(docs, prints, linked_components))
+    return with_components(rows.drop("bands"), prints, found)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the row of the smallest id of each component stays.
 
     Of rows that share that id the one with the smallest text hash stays, of identical rows all but one
     go.
     """
-    found = near_duplicates(docs, size, threshold)
+    found = near_duplicates(docs)
     stays = found.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("_s")
     )

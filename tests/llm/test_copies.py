@@ -150,6 +150,52 @@ def test_keep_one(docs, rows):
     assert kept.count() == len(groups)
 
 
+def brute_near(texts, size=5):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        k = min(size, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                parent[root(a)] = root(b)
+    groups = defaultdict(set)
+    for v in range(len(texts)):
+        groups[root(v)].add(v)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_edited_copies_are_linked(spark):
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randint(0, 5000)
+    texts = ["", " ", "one two", "One  two", "one two three"]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = word()
+            texts.append(" ".join(copy + [word() for _ in range(edits)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = defaultdict(set)
+    for r in simhash.near_duplicates(df).collect():
+        groups[r.component].add(r.doc_id)
+    expected = brute_near(texts)
+    assert {frozenset(g) for g in groups.values()} == expected
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {min(g) for g in expected}
+    assert 20 < len(expected) < len(texts) - 20
+
+
 def test_keep_one_tells_components_apart(spark):
     texts = ["one two three four five", "red green blue black white", "north east south west here"]
     rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, "sun moon star sky rain")]
