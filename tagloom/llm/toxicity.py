@@ -2,7 +2,8 @@
 
 Folding lower-cases and maps look-alike letters of other scripts and digits that stand for letters.
 The lexicon is learned from labelled documents: folded words that are far more frequent in toxic ones,
-weighted by their log odds.  Two-word phrases around a lexicon word that mark clean documents are
+weighted by their log odds.  Near copies of a label count as one document, so a word that only they share
+is not learned, and a word in one fixed phrase of different documents is.  Two-word phrases around a lexicon word that mark clean documents are
 exceptions: a match inside one does not count.  The weights found in a document, as a sum and normalised by
 its length, give the score through a logistic curve fitted on the same sample.
 """
@@ -22,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import crc_of_id, share, shared, with_columns
+from tagloom.llm import simhash
+from tagloom.llm.common import crc_of_id, row_key, share, shared, with_columns
 from tagloom.llm.logistic import fit_logistic, sigmoid
 from tagloom.llm.samples import SAMPLE_ROWS, labelled_sample
+from tagloom.sources.staging import stage
 
 FOLDS, HELD_OUT = 4, 2
 REJECT = 0.3
 TERMS = 5_000
 LEAST_DOCS = 5
-LEAST_PLACES = 5
 LEAST_WEIGHT = 2.0
 
 # Look-alikes of Latin letters in the Cyrillic and Greek scripts, digits for letters.
@@ -115,13 +117,17 @@ class Lexicon:
 
 
 def _counted(df: DataFrame, keys) -> DataFrame:
-    """``(term, toxic, clean)``: in how many texts of either label each key occurs; tasks add up first."""
+    """``(term, toxic, clean)``: in how many groups of either label each key occurs; tasks add up first.
+
+    ``df`` has the ``texts`` of a group in one row; a key in several of them counts once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1)):
-                found[1 if label.as_py() > 0 else 0].update(set(keys(fold(text.as_py()))))
+            for texts, label in zip(batch.column(0), batch.column(1)):
+                inside = {k for text in texts for k in keys(fold(text.as_py()))}
+                found[1 if label.as_py() > 0 else 0].update(inside)
         terms = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays(
             [
@@ -132,14 +138,28 @@ def _counted(df: DataFrame, keys) -> DataFrame:
             ["term", "toxic", "clean"],
         )
 
-    counts = df.select("text", "label").mapInArrow(count, "term string, toxic long, clean long")
+    counts = df.select("texts", "label").mapInArrow(count, "term string, toxic long, clean long")
     return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def near_copy_groups(sample: DataFrame) -> DataFrame:
+    """``(texts, label)``: the sampled texts of each group of near copies and label, in one row."""
+    texts = sample.select("text", F.col("label") > 0, row_key().alias("row_key")).toDF("text", "toxic", "row_key")
+    found = simhash.near_duplicates(texts.select(F.col("row_key").alias("doc_id"), "text"))
+    groups = texts.join(found.select("row_key", "component"), "row_key").groupBy("component", "toxic")
+    return stage(
+        groups.agg(F.collect_list("text").alias("texts")).select(
+            "texts", F.col("toxic").cast("int").alias("label")
+        ),
+        "groups",
+    )
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
     """The lexicon of a bounded sample of labelled rows; at most ``TERMS`` words reach the driver."""
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows)
-    sizes = {r["label"] > 0: r["count"] for r in sample.groupBy("label").count().collect()}
+    groups = near_copy_groups(sample)
+    sizes = {r["label"] > 0: r["count"] for r in groups.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     toxic_share, clean_share = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (
         n_clean + 1
@@ -147,35 +167,21 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     weight = F.log(toxic_share / clean_share)
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     terms = (
-        _counted(sample, WORD.findall)
+        _counted(groups, WORD.findall)
         .filter(F.col("toxic") >= LEAST_DOCS)
         .withColumn("weight", weight)
         .filter(F.col("weight") - doubt > LEAST_WEIGHT)
         .orderBy(F.desc(F.col("weight") - doubt), "term")
         .limit(TERMS)
     )
-    likely = {r["term"]: r["weight"] for r in terms.collect()}
-
-    def surroundings(text: str) -> Iterator[str]:
-        words = ["", *WORD.findall(text), ""]
-        return (f"{b} {a} {c}" for a, b, c in zip(words, words[1:], words[2:]) if b in likely)
-
-    # A word that only near copies of one document share has few surroundings.
-    spread = (
-        _counted(sample, surroundings)
-        .filter("toxic > 0")
-        .groupBy(F.substring_index("term", " ", 1).alias("term"))
-        .agg(F.count(F.lit(1)).alias("places"), F.max("toxic").alias("most"))
-        .filter((F.col("places") >= LEAST_PLACES) & (F.col("most") < F.col("places")))
-    )
-    weights = {r["term"]: likely[r["term"]] for r in spread.collect()} if likely else {}
+    weights = {r["term"]: r["weight"] for r in terms.collect()}
 
     def phrases(text: str) -> Iterator[str]:
         words = WORD.findall(text)
         return (f"{a} {b}" for a, b in zip(words, words[1:]) if a in weights or b in weights)
 
     excused = (
-        _counted(sample, phrases)
+        _counted(groups, phrases)
         .filter((F.col("clean") >= LEAST_DOCS) & (F.col("clean") * n_toxic > F.col("toxic") * n_clean))
         .orderBy(F.desc("clean"), "term")
         .limit(TERMS)

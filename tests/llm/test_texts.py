@@ -215,6 +215,19 @@ def test_classifier_edges(spark, docs, no_docs, report):
     assert report(docs, labels.filter("false")).count() == docs.count()
 
 
+def test_lexicon_counts_different_documents(spark):
+    rng = random.Random(4)
+    prose = lambda: [f"w{chr(97 + rng.randint(0, 25))}{chr(97 + rng.randint(0, 25))}" for _ in range(60)]
+    copied = prose()
+    rows = [(" ".join(prose() + "you utter grunkle head".split() + prose()), 1) for _ in range(40)]
+    rows += [(" ".join(copied + "such a zibble here".split() + copied + [f"t{i}"]), 1) for i in range(40)]
+    rows += [(" ".join(prose() + prose()), 0) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    weights = toxicity.learn(docs, labels).weights
+    assert "grunkle" in weights and "zibble" not in weights
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("ІDI0T m0r0n cl@ss") == "idiot moron class"
     lexicon = toxicity.Lexicon({"trash": 3.0, "scum": 4.0}, ["trash can"])
