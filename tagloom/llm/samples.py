@@ -14,7 +14,8 @@ SAMPLE_ROWS = 20_000
 
 def hash_share(rate: float) -> Column:
     """True for a share ``rate`` of the ids, the same ones in every run."""
-    return F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000)
+    hashed = F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit((1 << 63) - 1))
+    return hashed <= min(int(rate * 2**63), (1 << 63) - 1)
 
 
 def labelled_sample(

@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, language, pieces, quality, queries, toxicity, warc
+from tagloom.llm import decontaminate, language, pieces, quality, queries, samples, toxicity, warc
 from tagloom.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -215,6 +215,12 @@ def test_classifier_edges(spark, docs, no_docs, report):
     assert report(docs, labels.filter("false")).count() == docs.count()
 
 
+def test_hash_share_below_a_millionth(spark):
+    ids = spark.range(20_000_000).withColumnRenamed("id", "doc_id")
+    assert 2 <= ids.filter(samples.hash_share(5e-7)).count() <= 25
+    assert ids.limit(1000).filter(samples.hash_share(1.0)).count() == 1000
+
+
 def test_lexicon_counts_different_documents(spark):
     rng = random.Random(4)
     prose = lambda: [f"w{chr(97 + rng.randint(0, 25))}{chr(97 + rng.randint(0, 25))}" for _ in range(60)]
