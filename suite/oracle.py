@@ -547,6 +547,11 @@ ORACLE: dict[str, str] = {
         "WHERE a IN (SELECT id FROM vertices) AND b IN (SELECT id FROM vertices) "
         "AND a < b AND similarity > 0",
     ),
+    "pairwise_cosine_all": sql(
+        *MODEL,
+        COSINES,
+        "SELECT a AS src, b AS dst, similarity FROM cosines WHERE a < b AND similarity > 0",
+    ),
     "similarity_edges": sql(
         *MODEL,
         COSINES,
@@ -593,6 +598,9 @@ ORACLE: dict[str, str] = {
     "complete_graph_communities": sql(
         *MODEL, COSINES, FIRST_VERTICES, COMPLETE, COMPONENTS, LABELS, BOTH
     ),
+    "complete_graph_communities_all": sql(
+        *MODEL, COSINES, VERTICES, COMPLETE, COMPONENTS, LABELS, BOTH
+    ),
     "order_tag_vectors": sql(*ORDER_MODEL, ROUND_VECTORS),
     "order_similar_tags": sql(*ORDER_MODEL, ONE.format(name=lit(ORDER_TAG)), TOP_20),
 }

@@ -451,6 +451,13 @@ def pairwise_cosine(spark, sf_dir):
     return similarity.pairwise_cosine(model.vectors, model.tags, COMPLETE_TAGS)
 
 
+@query
+def pairwise_cosine_all(spark, sf_dir):
+    """The matrix of all tags."""
+    model = _model(spark, sf_dir)
+    return similarity.pairwise_cosine(model.vectors, model.tags, model.tags.count())
+
+
 @query
 def similarity_edges(spark, sf_dir):
     model = _model(spark, sf_dir)
@@ -538,6 +545,15 @@ def complete_graph_communities(spark, sf_dir):
     return detect_communities(model.vectors, model.tags, COMPLETE_TAGS, min_similarity=None)
 
 
+@query
+def complete_graph_communities_all(spark, sf_dir):
+    """Communities of the complete graph over all tags."""
+    model = _model(spark, sf_dir)
+    return detect_communities(
+        model.vectors, model.tags, model.tags.count(), min_similarity=None
+    )
+
+
 # The same operators over orders: many short posts, few large tags
 
 
