@@ -23,6 +23,14 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put after it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key() -> Column:
     """Tells apart rows that share a ``doc_id`` but not a text; never null."""
     return F.xxhash64("text")
@@ -77,8 +85,8 @@ def with_columns(
         per_batch = compute()
         for batch in batches:
             # A few rows at a time, so that long texts do not add up.
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 new = [pa.array(v, arrow.field(i).type) for i, v in enumerate(per_batch(part))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(n) for n in names] + new, names + arrow.names

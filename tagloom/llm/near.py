@@ -1,16 +1,13 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Groups of near copies in a labelled sample, by keys of MinHashes of five-word shingles.
 
-Each distinct set gets ``BANDS`` keys of ``WIDTH`` MinHashes; two sets meet if a key is equal, which they
-miss with probability ``(1 - j ** WIDTH) ** BANDS`` at similarity ``j``: 0.0004 at 0.8, less above.  Every
-link is verified on the whole sets.  Links first go from one member of a bucket, another one in each
-bucket, to its others, which already connects a large group; then only members that are still in
-different components are compared in pairs.
+A set of shingles gets ``BANDS`` keys of ``WIDTH`` MinHashes; two sets share none with probability
+``(1 - j ** WIDTH) ** BANDS`` at Jaccard similarity ``j``: 0.0004 at 0.8.  Sets that share a key are one
+group.  Every set is linked to the smallest set of each of its keys, so there are at most ``BANDS`` links
+for a set, however large a group is.  Links are not verified: a group only says which labels count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,11 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm.common import arrow_bytes, row_key, with_columns
-from tagloom.operators.joins import lookup_join, salted_join
 from tagloom.sources.staging import stage
 
 SIZE = 5
-SIMILARITY = 0.8
 BANDS, WIDTH = 20, 5
 SEED = 42
 
@@ -97,69 +92,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     )
 
 
-def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs (src, dst)`` of set hashes whose sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    wanted = stage(prints.join(ends, "fp", "left_semi").select("fp", "row_key"), "wanted")
-    texts = docs.select("text", row_key().alias("row_key"), "doc_id")
-
-    def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                packed = [shingles(t).tobytes() for t in arrow_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("fp"), pa.array(packed, pa.binary())], ["fp", "packed"]
-                )
-
-    found = lookup_join(texts, wanted, "row_key", salt_by="doc_id").select("fp", "text")
-    sets = stage(found.dropDuplicates(["fp"]).mapInArrow(to_set, "fp long, packed binary"), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            similar = []
-            for a, b in zip(batch.column("at_src"), batch.column("at_dst")):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                similar.append(both >= SIMILARITY * (len(a) + len(b) - both))
-            yield batch.select(["src", "dst"]).filter(pa.array(similar, pa.bool_()))
-
-    pairs = salted_join(
-        pairs, sets.select(F.col("fp").alias("src"), F.col("packed").alias("at_src")), "src", "dst"
-    )
-    pairs = salted_join(
-        pairs, sets.select(F.col("fp").alias("dst"), F.col("packed").alias("at_dst")), "dst", "src"
-    )
-    return pairs.select("src", "dst", "at_src", "at_dst").mapInArrow(compare, "src long, dst long")
-
-
-def near_links(
-    docs: DataFrame, prints: DataFrame, components: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """``(src, dst)`` of set hashes: links with the components of all similar pairs that share a key.
-
-    ``prints`` has one row per distinct set, with ``row_key`` of a text that has it and its ``bands``.
-    """
-    members = prints.select("fp", F.explode("bands").alias("key"))
-    first = F.min_by("fp", F.xxhash64("fp", "key")).alias("first")
-    buckets = members.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(members.join(buckets.drop("n"), "key"), "members")
-    to_first = members.filter(F.col("fp") != F.col("first")).select(
-        F.least("fp", "first").alias("src"), F.greatest("fp", "first").alias("dst")
-    )
-    to_first = stage(to_first.distinct(), "first_pairs")
-    links = stage(verified(docs, prints, to_first), "first_links")
-
-    owned = members.select("key", "fp").join(components(links), "fp", "left").select(
-        "key", "fp", F.coalesce("component", "fp").alias("own")
-    )
-    owned = stage(owned, "owned")
-    mixed = owned.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b")
-    owned = owned.join(mixed.select("key"), "key", "left_semi")
-    others = owned.select("key", F.col("fp").alias("other"), F.col("own").alias("others_own"))
-    rest = owned.join(others, "key").filter("own < others_own").select(
-        F.least("fp", "other").alias("src"), F.greatest("fp", "other").alias("dst")
-    )
-    rest = rest.distinct().join(to_first, ["src", "dst"], "left_anti")
-    rest = stage(rest, "rest_pairs")
-    return stage(links.unionByName(verified(docs, prints, rest)), "near_links")
+def copy_links(sketched: DataFrame) -> DataFrame:
+    """``(src, dst)`` of set hashes: each set with the smallest one of each key, no set with itself."""
+    members = sketched.select("fp", F.explode("bands").alias("key")).distinct()
+    centres = members.groupBy("key").agg(F.min("fp").alias("src"), F.count(F.lit(1)).alias("n"))
+    stars = members.join(centres.filter("n > 1"), "key").filter("fp <> src")
+    return stars.select("src", F.col("fp").alias("dst")).distinct()

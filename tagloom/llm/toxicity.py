@@ -3,8 +3,8 @@
 Folding lower-cases and maps look-alike letters of other scripts and digits that stand for letters.
 The lexicon is learned from labelled documents: folded words that are far more frequent in toxic ones,
 weighted by their log odds.  Near copies of a label count as one document, so a word that only they share
-is not learned, and a word in one fixed phrase of different documents is.  Two-word phrases around a lexicon word that mark clean documents are
-exceptions: a match inside one does not count.  The weights found in a document, as a sum and normalised by
+is not learned, and a word in one fixed phrase of different documents is.  Two-word phrases around a lexicon
+word that mark clean documents are exceptions: a match inside one does not count.  The weights found in a document, as a sum and normalised by
 its length, give the score through a logistic curve fitted on the same sample.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -23,15 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm import simhash
-from tagloom.llm.common import crc_of_id, row_key, share, shared, with_columns
+from tagloom.llm import near, simhash
+from tagloom.llm.common import crc_of_id, free_name, row_key, share, shared, with_columns
 from tagloom.llm.logistic import fit_logistic, sigmoid
 from tagloom.llm.samples import SAMPLE_ROWS, labelled_sample
 from tagloom.sources.staging import stage
 
 FOLDS, HELD_OUT = 4, 2
 REJECT = 0.3
-TERMS = 5_000
 LEAST_DOCS = 5
 LEAST_WEIGHT = 2.0
 
@@ -117,49 +115,46 @@ class Lexicon:
 
 
 def _counted(df: DataFrame, keys) -> DataFrame:
-    """``(term, toxic, clean)``: in how many groups of either label each key occurs; tasks add up first.
+    """``(term, toxic, clean)``: in how many groups of ``copies`` of either label each key occurs."""
 
-    ``df`` has the ``texts`` of a group in one row; a key in several of them counts once.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, label in zip(batch.column(0), batch.column(1)):
-                inside = {k for text in texts for k in keys(fold(text.as_py()))}
-                found[1 if label.as_py() > 0 else 0].update(inside)
-        terms = list(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(terms, pa.string()),
-                pa.array([found[1][t] for t in terms], pa.int64()),
-                pa.array([found[0][t] for t in terms], pa.int64()),
-            ],
-            ["term", "toxic", "clean"],
-        )
-
-    counts = df.select("texts", "label").mapInArrow(count, "term string, toxic long, clean long")
-    return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            for at in range(batch.num_rows):
+                part = batch.slice(at, 1)
+                terms = list(set(keys(fold(part.column("text")[0].as_py()))))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c).take(pa.array([0] * len(terms), pa.int64())) for c in ("copies", "toxic")]
+                    + [pa.array(terms, pa.string())],
+                    ["copies", "toxic", "term"],
+                )
+
+    terms = df.select("text", "copies", "toxic").mapInArrow(
+        found, "copies long, toxic boolean, term string"
+    )
+    return terms.distinct().groupBy("term").agg(
+        F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")
+    )
 
 
 def near_copy_groups(sample: DataFrame) -> DataFrame:
-    """``(texts, label)``: the sampled texts of each group of near copies and label, in one row."""
-    texts = sample.select("text", F.col("label") > 0, row_key().alias("row_key")).toDF("text", "toxic", "row_key")
-    found = simhash.near_duplicates(texts.select(F.col("row_key").alias("doc_id"), "text"))
-    groups = texts.join(found.select("row_key", "component"), "row_key").groupBy("component", "toxic")
-    return stage(
-        groups.agg(F.collect_list("text").alias("texts")).select(
-            "texts", F.col("toxic").cast("int").alias("label")
-        ),
-        "groups",
-    )
+    """``(text, copies, toxic)`` of the sampled texts; ``copies`` is equal for near copies."""
+    texts = sample.select(row_key().alias("row_key"), "text", (F.col("label") > 0).alias("toxic"))
+    sketched = near.sketches(texts.select(F.col("row_key").alias("doc_id"), "text"))
+    found = simhash.linked_components(stage(near.copy_links(sketched), "copy_links"))
+    groups = texts.join(sketched.select("row_key", "fp"), "row_key").join(found, "fp", "left")
+    return stage(groups.select("text", F.coalesce("component", "fp").alias("copies"), "toxic"), "groups")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
-    """The lexicon of a bounded sample of labelled rows; at most ``TERMS`` words reach the driver."""
+    """The lexicon of a bounded sample of labelled rows.
+
+    Every word and phrase that passes the statistical limits is kept: ``LEAST_DOCS`` groups of a label, and
+    for words log odds that exceed ``LEAST_WEIGHT`` by their standard error.  So their number is bounded
+    by the sample, and only they reach the driver.
+    """
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows)
     groups = near_copy_groups(sample)
-    sizes = {r["label"] > 0: r["count"] for r in groups.groupBy("label").count().collect()}
+    sizes = {r["toxic"]: r["count"] for r in groups.groupBy("toxic").agg(F.count_distinct("copies").alias("count")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     toxic_share, clean_share = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (
         n_clean + 1
@@ -171,8 +166,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
         .filter(F.col("toxic") >= LEAST_DOCS)
         .withColumn("weight", weight)
         .filter(F.col("weight") - doubt > LEAST_WEIGHT)
-        .orderBy(F.desc(F.col("weight") - doubt), "term")
-        .limit(TERMS)
     )
     weights = {r["term"]: r["weight"] for r in terms.collect()}
 
@@ -180,11 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
         words = WORD.findall(text)
         return (f"{a} {b}" for a, b in zip(words, words[1:]) if a in weights or b in weights)
 
-    excused = (
-        _counted(groups, phrases)
-        .filter((F.col("clean") >= LEAST_DOCS) & (F.col("clean") * n_toxic > F.col("toxic") * n_clean))
-        .orderBy(F.desc("clean"), "term")
-        .limit(TERMS)
+    excused = _counted(groups, phrases).filter(
+        (F.col("clean") >= LEAST_DOCS) & (F.col("clean") * n_toxic > F.col("toxic") * n_clean)
     )
     lexicon = Lexicon(weights, [r["term"] for r in excused.collect()] if weights else [])
     box = share(docs.sparkSession, lexicon)
@@ -210,16 +200,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     return lexicon
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with ``_score`` from 0 to 1 for every whole text; null and empty texts match nothing."""
+def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
+    """``docs`` with the score from 0 to 1 of every whole text in ``name``, which no column may have.
+
+    Null and empty texts match nothing.
+    """
     box = share(docs.sparkSession, lexicon)
 
     def compute():
         words = shared(box)
         return lambda part: [[words.score(t.as_py() or "") for t in part.column("text")]]
 
-    added = T.StructType([T.StructField("_score", T.DoubleType())])
-    return with_columns(docs, added, compute, ("_score",))
+    return with_columns(docs, T.StructType([T.StructField(name, T.DoubleType())]), compute)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -232,12 +224,18 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         (F.pmod(crc_of_id(), F.lit(FOLDS)) == HELD_OUT).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= REJECT).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= REJECT).cast("int").alias("predicted"),
     )
 
 
 def keep_clean(docs: DataFrame, learn_from: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` below the rejecting score, with their own columns."""
-    found = scored(docs, learn(learn_from, labels))
-    return found.filter(F.col("_score") < REJECT).select(*docs.columns)
+    """The rows of ``docs`` below the rejecting score, with their own columns, whatever their names.
+
+    Null, empty and blank texts match nothing and stay, as do all rows without usable labels.  Texts of any
+    length are searched as a whole, and equal texts share their verdict.  An empty table gives an empty
+    result.
+    """
+    name = free_name(docs, "_score")
+    found = scored(docs, learn(learn_from, labels), name)
+    return found.filter(F.col(name) < REJECT).select(*docs.columns)
