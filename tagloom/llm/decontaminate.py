@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import arrow_bytes, share, shared, with_columns
+from tagloom.llm.common import arrow_bytes, free_name, share, shared, with_columns
 from tagloom.sources.staging import stage
 
 WINDOW = 10
@@ -110,9 +110,14 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    block_bytes: int = BLOCK_BYTES,
+    names: tuple[str, str, str] = ("_n_words", "_hit", "_items"),
 ) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_hit`` (positions of hit words) and ``_items`` (ids, as strings).
+    """``docs`` with the number of words, the positions of hit words and the items (ids, as strings).
+
+    ``names`` are those of the three columns; columns of ``docs`` that are so named make place.
 
     Null and empty texts have no words.  A null item id is listed as an empty string, and items that
     share an id are one.  Rows that repeat a document each get the answer.  No documents give an empty
@@ -121,9 +126,9 @@ def contamination(
     spark = docs.sparkSession
     schema = T.StructType(
         [
-            T.StructField("_n_words", T.LongType()),
-            T.StructField("_hit", T.ArrayType(T.IntegerType())),
-            T.StructField("_items", T.ArrayType(T.StringType())),
+            T.StructField(names[0], T.LongType()),
+            T.StructField(names[1], T.ArrayType(T.IntegerType())),
+            T.StructField(names[2], T.ArrayType(T.StringType())),
         ]
     )
     out = None
@@ -143,8 +148,8 @@ def contamination(
                     words = words_of(text)
                     hit, items = windows.search(words)
                     if before:
-                        hit.update(part.column("_hit")[k].as_py())
-                        items.update(part.column("_items")[k].as_py())
+                        hit.update(part.column(names[1])[k].as_py())
+                        items.update(part.column(names[2])[k].as_py())
                     counts.append(len(words))
                     hits.append(sorted(hit))
                     ids.append(sorted(items))
@@ -172,6 +177,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window, with their own columns."""
-    found = contamination(docs, benchmark)
-    return found.filter(F.size("_hit") == 0).select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark window, with their own columns, whatever their names.
+
+    Null, empty and blank texts hold none and stay; repeated rows all stay or go.  No documents give an
+    empty result, an empty benchmark keeps every row.
+    """
+    names = tuple(free_name(docs, n) for n in ("_n_words", "_hit", "_items"))
+    found = contamination(docs, benchmark, names=names)
+    return found.filter(F.size(names[1]) == 0).select(*docs.columns)

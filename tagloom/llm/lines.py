@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.llm.common import documents, row_key, same_row
+from tagloom.llm.common import documents, free_name, row_key, same_row
 
 WINDOW = 3
 
@@ -57,21 +58,14 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """``doc_id, text, n_lines, n_removed``: every row with the lines of repeated windows removed.
+def _packed(docs: DataFrame, columns: list[str]) -> Column:
+    """The columns as one struct, which also may have none of them."""
+    return F.struct(F.lit(0).alias(free_name(docs, "_")), *columns)
 
-    With ``carry`` the other columns of ``docs`` come along, unless they are named like one of these.
 
-    Lines end at line feeds.  A window is three consecutive lines; of equal windows the first by
-    ``(doc_id, line)`` stays, and every line that a later occurrence covers goes, also where it overlaps
-    an occurrence that stays.  Fewer than three lines are never removed.  Null text has no lines and
-    stays null; empty text is one empty line.  Rows that repeat an id and its text are one document.
-    """
-    names = ["doc_id", "text", "n_lines", "n_removed"]
-    others = [c for c in docs.columns if c not in names] if carry else []
-    own = docs.select(
-        "doc_id", "text", row_key().alias("row_key"), F.struct(F.lit(0), *others).alias("_others")
-    )
+def _deduped(docs: DataFrame, others: Column) -> DataFrame:
+    """``doc_id, text, _n, _left, _null, _others``: texts without repeats, line counts, ``others`` as it was."""
+    own = docs.select("doc_id", "text", row_key().alias("row_key"), others.alias("_others"))
     windows = line_windows(docs)
     first = repeated_windows(windows)
     later = (
@@ -97,24 +91,50 @@ def dedup_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     )
     later = later.alias("later")
-    return (
-        own.join(later, same_row(own, later), "left")
-        .select(
-            own["doc_id"],
-            kept.alias("text"),
-            F.coalesce(F.size(lines), F.lit(0)).alias("_n"),
-            F.when(F.col("starts").isNull(), F.size(lines)).otherwise(F.size(left)).alias("_left"),
-            F.col("text").isNull().alias("_null"),
-            "_others",
-        )
-        .select(
-            "doc_id",
-            "text",
-            F.when(F.col("_null"), 0).otherwise(F.col("_n")).cast("long").alias("n_lines"),
-            F.when(F.col("_null"), 0)
-            .otherwise(F.col("_n") - F.col("_left"))
-            .cast("long")
-            .alias("n_removed"),
-            *[F.col("_others").getField(c).alias(c) for c in others],
-        )
+    return own.join(later, same_row(own, later), "left").select(
+        own["doc_id"],
+        kept.alias("text"),
+        F.coalesce(F.size(lines), F.lit(0)).alias("_n"),
+        F.when(F.col("starts").isNull(), F.size(lines)).otherwise(F.size(left)).alias("_left"),
+        F.col("text").isNull().alias("_null"),
+        "_others",
+    )
+
+
+def dedup_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id, text, n_lines, n_removed``: every row with the lines of repeated windows removed.
+
+    With ``carry`` the other columns of ``docs`` come along, unless they are named like one of these.
+
+    Lines end at line feeds.  A window is three consecutive lines; of equal windows the first by
+    ``(doc_id, line)`` stays, and every line that a later occurrence covers goes, also where it overlaps
+    an occurrence that stays.  Fewer than three lines are never removed.  Null text has no lines and
+    stays null; empty text is one empty line.  Rows that repeat an id and its text are one document.
+    """
+    names = ["doc_id", "text", "n_lines", "n_removed"]
+    others = [c for c in docs.columns if c not in names] if carry else []
+    found = _deduped(docs, _packed(docs, others))
+    return found.select(
+        "doc_id",
+        "text",
+        F.when(F.col("_null"), 0).otherwise(F.col("_n")).cast("long").alias("n_lines"),
+        F.when(F.col("_null"), 0).otherwise(F.col("_n") - F.col("_left")).cast("long").alias("n_removed"),
+        *[F.col("_others").getField(c).alias(c) for c in others],
     )
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts of ``dedup_lines``; all other columns as they were, whatever their names.
+
+    Only ``n_chars``, where there is one, follows the text.  Every row stays, null texts as null.
+    """
+
+    def value(column: T.StructField) -> Column:
+        if column.name == "text":
+            return F.col("text")
+        if column.name == "n_chars":
+            return F.char_length("text").cast(column.dataType).alias("n_chars")
+        return F.col("_others").getField(column.name).alias(column.name)
+
+    found = _deduped(docs, _packed(docs, [c for c in docs.columns if c != "text"]))
+    return found.select(*[value(c) for c in docs.schema.fields])

@@ -11,8 +11,6 @@ Copies disappear before that: only distinct fingerprints are covered, so a text
 one fingerprint.  The comparison is an equi-join on the anchor with the Hamming distance as its further
 condition; a crowded anchor is split by the adaptive skew join, and only real links leave it.  Linked
 fingerprints form components by large-star and small-star rounds.
-
-Near copies for the pipeline's stage are linked by ``near``, not by these fingerprints.
 """
 
 from __future__ import annotations
@@ -26,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm import near
-from tagloom.llm.common import arrow_bytes, row_key, with_columns
+from tagloom.llm.common import arrow_bytes, free_name, row_key, with_columns
 from tagloom.operators.graph import TagGraph, connected_components
 from tagloom.sources.staging import stage
 
@@ -202,37 +199,25 @@ def component_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``with_components`` of rows that link when their texts are near copies by ``near.near_links``."""
-    rows = near.sketches(docs)
-    prints = stage(
-        rows.groupBy("fp").agg(
-            F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.any_value("bands").alias("bands")
-        ),
-        "prints",
-    )
-    found = linked_components(near.near_links(docs, prints, linked_components))
-    return with_components(rows.drop("bands"), prints, found)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the row of the smallest id of each component stays.
 
-    Of rows that share that id the one with the smallest text hash stays, of identical rows all but one
-    go.
+    Components are those of ``close_prints``.  A null id comes after all others.  Of rows that share the id
+    the one with the smallest text hash stays, of identical ones any one.  Null, empty and blank texts are
+    one component; a text of any length counts as a whole.  All columns come back as they were, whatever
+    their names.  An empty table gives an empty result.
     """
-    found = near_duplicates(docs)
+    found = close_prints(docs, size, threshold)
     stays = found.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("_s")
     )
-    kept = docs.withColumn("_row_key", row_key())
+    key = free_name(docs, "_row_key")
+    kept = docs.withColumn(key, row_key())
     stays = stays.select(F.col("_s.doc_id").alias("_id"), F.col("_s.row_key").alias("_key"))
     return (
         kept.join(
-            stays,
-            kept["doc_id"].eqNullSafe(stays["_id"]) & (kept["_row_key"] == stays["_key"]),
-            "left_semi",
+            stays, kept["doc_id"].eqNullSafe(stays["_id"]) & (kept[key] == stays["_key"]), "left_semi"
         )
-        .dropDuplicates(["doc_id", "_row_key"])
+        .dropDuplicates(["doc_id", key])
         .select(*docs.columns)
     )

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tagloom.llm import exact, lines, simhash, suffix
+from tagloom.llm import exact, lines, near, simhash, suffix
 
 LAST = 1 << 62
 
@@ -143,62 +143,46 @@ def test_code_is_perfect():
         assert len(set(pattern[first[s] : first[s + 1]] ^ pattern[first[s]])) == first[s + 1] - first[s]
 
 
-def test_keep_one(docs, rows):
+def test_keep_one(docs, rows, no_docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    groups = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert kept.count() == len(groups)
-
-
-def brute_near(texts, size=5):
-    sets = []
-    for t in texts:
-        w = t.lower().split()
-        k = min(size, len(w))
-        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
-    parent = list(range(len(texts)))
-
-    def root(v):
-        while parent[v] != v:
-            v = parent[v]
-        return v
-
-    for a in range(len(texts)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                parent[root(a)] = root(b)
-    groups = defaultdict(set)
-    for v in range(len(texts)):
-        groups[root(v)].add(v)
-    return {frozenset(g) for g in groups.values()}
+    component = brute_components([brute_fingerprint(t or "") for _, t in rows])
+    first = {}
+    for i, t in rows:
+        place = (order(i), xx(t) if t is not None else 42)
+        group = component[brute_fingerprint(t or "")]
+        if group not in first or place < first[group][0]:
+            first[group] = (place, (i, t))
+    assert rows_of(kept.select("doc_id", "text")) == Counter(r for _, r in first.values())
+    assert simhash.keep_one(no_docs).count() == 0
 
 
-def test_edited_copies_are_linked(spark):
+def test_copy_links_grow_with_the_members(spark):
+    """Mutually different edits of one text: links stay at most one per set and key."""
     rng = random.Random(9)
-    word = lambda: "w%d" % rng.randint(0, 5000)
-    texts = ["", " ", "one two", "One  two", "one two three"]
-    for _ in range(12):
-        base = [word() for _ in range(rng.randint(60, 300))]
-        texts.append(" ".join(base))
-        for edits in (1, 2, 3, 4, 6, 9):
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+    made = []
+    for n in (100, 200):
+        texts = []
+        for i in range(n):
             copy = list(base)
-            for at in rng.sample(range(len(copy)), edits):
-                copy[at] = word()
-            texts.append(" ".join(copy + [word() for _ in range(edits)]))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    groups = defaultdict(set)
-    for r in simhash.near_duplicates(df).collect():
-        groups[r.component].add(r.doc_id)
-    expected = brute_near(texts)
-    assert {frozenset(g) for g in groups.values()} == expected
-    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {min(g) for g in expected}
-    assert 20 < len(expected) < len(texts) - 20
+            for at in rng.sample(range(len(copy)), 5):
+                copy[at] = f"x{i}_{at}"
+            texts.append(" ".join(copy))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sketched = near.sketches(df)
+        links = near.copy_links(sketched)
+        made.append(links.count())
+        assert made[-1] <= near.BANDS * n
+        assert simhash.linked_components(links).select("component").distinct().count() <= n // 10
+    assert made[1] <= 2.5 * made[0]
 
 
 def test_keep_one_tells_components_apart(spark):
     texts = ["one two three four five", "red green blue black white", "north east south west here"]
     rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, "sun moon star sky rain")]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    assert len(set(brute_components(prints).values())) == 4
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert rows_of(kept) == Counter(set(rows))
 
