@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate, lines, pieces, simhash, toxicity
 from tagloom.llm.common import table
@@ -20,14 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated three-line windows."""
-    found = lines.dedup_lines(docs, carry=True).withColumn(
-        "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    )
-    return found.select(*docs.columns)
+    return lines.drop_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group whose SimHash fingerprints are linked."""
     return simhash.keep_one(docs)
 
 
