@@ -87,4 +87,26 @@ ORACLE = {
                CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op13_hard_negatives": r"""
+        WITH r AS MATERIALIZED (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+          SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id,
+                 CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+          FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+          SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                 CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+                   AS INT) AS rank
+          FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+            AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+        FROM n WHERE rank <= 10""",
 }
