@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm import decontaminate, lines, pieces, simhash, toxicity
 from tagloom.llm.common import table
-from tagloom.sources.staging import stage
+from tagloom.sources.staging import new_location, scratch_space
 
 MODEL = "piece_bpe_32k.model"
 
@@ -50,8 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
+    """All stages over ``documents``; each stage's rows are written as Parquet and read again.
+
+    What a stage has put aside for itself is deleted when its rows are written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = new_location(spark, name.replace(" ", "_"))
+        with scratch_space(spark):
+            made = function(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs

@@ -15,12 +15,14 @@ from suite.spark_queries import (
     SCAN_LIMIT,
 )
 from tagloom.functions.stemming import IRREGULAR, STEP_1A, STEP_2, STEP_3, STEP_4
+from tagloom.functions.tokenizing import CONTRACTIONS
 from tagloom.functions.wordlists import (
     C1_CONTROLS,
     C1_READ_AS,
     ENGLISH_STOP_WORDS,
     HTML_ENTITIES,
 )
+from tagloom.operators.lemmas import NOUN_RULES
 
 
 def lit(text: str) -> str:
@@ -246,8 +248,8 @@ DOC_WORDS = (
     "doc_totals AS MATERIALIZED (SELECT word, count(*) AS total FROM doc_words GROUP BY word)"
 )
 PLURALS = (
-    "plurals AS (SELECT word, left(word, length(word) - 1) AS lemma FROM doc_totals "
-    "WHERE ends_with(word, 's') AND left(word, length(word) - 1) IN (SELECT word FROM doc_totals))"
+    "plurals AS MATERIALIZED (SELECT p.word, s.word AS lemma FROM doc_totals p "
+    "JOIN doc_totals s ON p.word = s.word || 's')"
 )
 LEMMATIZED = (
     f"{DOC_WORDS}, {PLURALS}, {TOKENS}, "
@@ -270,6 +272,154 @@ def rewritten(pieces: str) -> str:
     )
 
 
+# Lemmas by rules
+
+DICTIONARY = """
+dictionary AS MATERIALIZED (SELECT word AS form FROM doc_totals WHERE total >= 2),
+exceptions AS MATERIALIZED (
+  SELECT term, list(DISTINCT left(term, length(term) - 1)) AS listed FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM benchmark)
+  WHERE ends_with(term, 'e') GROUP BY term)
+"""
+
+
+def detached(x: str) -> str:
+    arms = ", ".join(
+        f"CASE WHEN ends_with({x}, '{old}') THEN left({x}, length({x}) - {len(old)}) || '{new}' END"
+        for old, new in NOUN_RULES
+    )
+    return f"list_filter([{arms}], lambda f: f IS NOT NULL AND f <> '')"
+
+
+def rule_lemmas(asked: str) -> str:
+    """CTEs ending in ``rule_lemmas (term, lemma)`` of the terms of ``asked``."""
+    return (
+        f"asked AS MATERIALIZED (SELECT DISTINCT a.term, e.listed FROM {asked} a "
+        "LEFT JOIN exceptions e USING (term)), "
+        "tried AS (SELECT term, listed IS NOT NULL AS by_list, 1 AS level, unnest(list_distinct("
+        f"list_concat([term], coalesce(listed, {detached('term')})))) AS form FROM asked "
+        f"UNION SELECT term, by_list, level + 1, unnest({detached('form')}) FROM tried "
+        "WHERE NOT by_list AND form <> term), "
+        "rule_lemmas AS (SELECT term, form AS lemma FROM tried JOIN dictionary USING (form) "
+        "QUALIFY row_number() OVER (PARTITION BY term ORDER BY level, length(form), form) = 1)"
+    )
+
+
+# Sentences and word tokens
+
+CLOSING = r"[)\"'\]}>]*"
+
+
+def word_type(x: str) -> str:
+    return f"regexp_replace({core(x)}, '[.]+\\z', '')"
+
+
+def core(x: str) -> str:
+    return f"lower(regexp_replace({x}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}.]+\\z', '', 'g'))"
+
+
+def closes(x: str, ends: str) -> str:
+    return f"regexp_matches({x}, {lit(ends + CLOSING + chr(92) + 'z')})"
+
+
+def times_log(count: str, share: str) -> str:
+    return f"(CASE WHEN {count} > 0 THEN {count} * ln({share}) ELSE 0 END)"
+
+
+SENTENCES = rf"""
+raw AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[{WS}]+'),
+                             lambda w: w <> '') AS words
+  FROM documents),
+types AS MATERIALIZED (
+  SELECT type, CAST(sum(n) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN period THEN n ELSE 0 END) AS BIGINT) AS n_period
+  FROM (SELECT {word_type('word')} AS type, regexp_matches({core('word')}, '[^.][.]\z') AS period, n
+        FROM (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM raw) GROUP BY word))
+  WHERE regexp_matches(type, '\p{{L}}') GROUP BY type),
+chance AS (SELECT sum(n_period) / sum(n) AS c, CAST(sum(n) AS DOUBLE) AS total FROM types),
+scored AS MATERIALIZED (
+  SELECT type, n, n_period,
+         -2 * ({times_log('n_period', 'c')} + {times_log('(n - n_period)', '(1 - c)')}
+               - n_period * ln(0.99) - (n - n_period) * ln(0.01))
+         * exp(-letters) * (length(type) - letters + 1) * pow(letters, -(n - n_period)) AS score
+  FROM (SELECT *, CAST(length(replace(type, '.', '')) AS DOUBLE) AS letters FROM types), chance
+  WHERE n_period > 0),
+short AS MATERIALIZED (SELECT type FROM scored WHERE score >= 0.3),
+pairs AS (
+  SELECT word, following, count(*) AS n FROM (
+    SELECT unnest(words) AS word,
+           unnest(list_concat(words[2:], CAST([NULL] AS VARCHAR[]))) AS following FROM raw)
+  WHERE following IS NOT NULL AND {closes('word', '[.?!]')} GROUP BY word, following),
+starts AS MATERIALIZED (
+  SELECT {word_type('following')} AS type, CAST(sum(n) AS DOUBLE) AS n_start FROM pairs
+  WHERE {closes('word', '[?!]')}
+     OR (regexp_matches({core('word')}, '[^.][.]\z') AND length({word_type('word')}) > 1
+         AND {word_type('word')} NOT IN (SELECT type FROM short))
+  GROUP BY ALL),
+starters AS MATERIALIZED (
+  SELECT type, n, CAST(n_start AS BIGINT) AS n_start,
+         CASE WHEN n_start * total > n * ends THEN ratio ELSE -ratio END AS score
+  FROM (
+    SELECT *, 2 * (
+      {times_log('n_start', 'n_start / ends')} + {times_log('(ends - n_start)', '(1 - n_start / ends)')}
+      + {times_log('(n - n_start)', '((n - n_start) / (total - ends))')}
+      + {times_log('(total - ends - n + n_start)', '(1 - (n - n_start) / (total - ends))')}
+      - {times_log('n_start', 'n / total')} - {times_log('(ends - n_start)', '(1 - n / total)')}
+      - {times_log('(n - n_start)', 'n / total')}
+      - {times_log('(total - ends - n + n_start)', '(1 - n / total)')}) AS ratio
+    FROM (SELECT s.type, n, n_start, total, sum(n_start) OVER () AS ends
+          FROM starts s JOIN types t USING (type), chance)))
+"""
+
+
+def split_words(x: str) -> str:
+    """The replacements of the word tokenizer; the digits after a comma or colon protect it."""
+    steps = [
+        (r"(^|[ \n(\[{<])\"", r"\1 `` "),
+        (r",([0-9])", "\x01\\1"),
+        (r":([0-9])", "\x02\\1"),
+        (r"[,:]", r" \0 "),
+        ("\x01", ","),
+        ("\x02", ":"),
+        (r"\.\.\.", " ... "),
+        (r"[;@#$%&]", r" \0 "),
+        (r"([^.\n])\.([\])}>\"']*) *(\n|\z)", r"\1 . \2\3"),
+        (r"[?!]", r" \0 "),
+        (r"([^'])'( |\n|\z)", r"\1 ' \2"),
+        (r"[\]\[(){}<>]", r" \0 "),
+        (r"--", " -- "),
+        (r"\"", " '' "),
+        (r"([^' \n])('[sSmMdD])( |\n|\z)", r"\1 \2\3"),
+        (r"([^' \n])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |\n|\z)", r"\1 \2\3"),
+    ]
+    for pattern, replacement in steps:
+        x = f"regexp_replace({x}, {lit(pattern)}, {lit(replacement)}, 'g')"
+    arms = " ".join(
+        f"WHEN {lit(w)} THEN [t[:{n}], t[{n + 1}:]]" for w, n in CONTRACTIONS.items()
+    )
+    return (
+        f"flatten(list_transform(list_filter(regexp_split_to_array({x}, '[ \\n]+'), lambda t: t <> ''), "
+        f"lambda t: CASE lower(t) {arms} ELSE [t] END))"
+    )
+
+
+UPPER = "regexp_matches(words[i + 1], '^[^\\p{L}\\p{N}]*\\p{Lu}')"
+LINES = rf"""
+lists AS (SELECT (SELECT list(type) FROM short) AS shorts,
+                 (SELECT list(type) FROM starters WHERE score >= 30) AS begins),
+lines AS MATERIALIZED (
+  SELECT doc_id, array_to_string(list_transform(words, lambda w, i: CASE WHEN i = len(words) THEN w
+    WHEN CASE WHEN NOT {closes('w', '[.?!]')} THEN false WHEN {closes('w', '[?!]')} THEN true
+              WHEN {closes('w', '[.][.]')} THEN {UPPER}
+              ELSE NOT (list_contains(coalesce(shorts, []), {word_type('w')})
+                        OR regexp_matches({word_type('w')}, '^\p{{L}}\z'))
+                   OR ({UPPER} AND list_contains(coalesce(begins, []), {word_type('words[i + 1]')})) END
+      THEN w || chr(10) ELSE w || ' ' END), '') AS sentences
+  FROM raw, lists)
+"""
+
+
 # TF-IDF, similarity, graph
 
 VOCAB = """
@@ -440,6 +590,18 @@ ORACLE: dict[str, str] = {
     ),
     "explode_tags": sql(FIXTURE, "SELECT * FROM post_tags"),
     "tag_index": sql(FIXTURE, INDEX, "SELECT * FROM tag_index"),
+    "tag_bitmaps": sql(FIXTURE, INDEX, "SELECT * FROM tag_index"),
+    "tag_bitmap_counts": sql(
+        FIXTURE,
+        INDEX,
+        "SELECT tag_id, tag_name, count(DISTINCT post_id) AS n_posts, count(*) AS n_rows "
+        "FROM tag_index GROUP BY tag_id, tag_name",
+    ),
+    "tag_bitmaps_in_corpus": sql(
+        *CORPUS,
+        INDEX,
+        "SELECT * FROM tag_index WHERE post_id IN (SELECT post_id FROM training)",
+    ),
     "tag_post_lists": sql(FIXTURE, LISTS, "SELECT * FROM lists"),
     "tag_post_ids_csv": sql(FIXTURE, LISTS, "SELECT tag_name, chunk, post_ids FROM lists"),
     "decode_post_ids": sql(FIXTURE, INDEX, "SELECT tag_id, post_id FROM tag_index"),
@@ -463,6 +625,8 @@ ORACLE: dict[str, str] = {
     "strip_urls": page(urls),
     "drop_stopwords": document(stops),
     "clean_text": document(clean),
+    "clean_text_sql": document(clean),
+    "clean_pages_sql": page(clean),
     "clean_pages": page(clean),
     "preprocess_text": sql(FIXTURE, cleaned(), "SELECT * FROM clean"),
     "stem_terms": sql(
@@ -494,11 +658,41 @@ ORACLE: dict[str, str] = {
         "SELECT word AS term, total, coalesce(lemma, word) AS normal "
         "FROM doc_totals LEFT JOIN plurals USING (word)",
     ),
+    "rule_lemmas": sql(
+        DOC_WORDS,
+        DICTIONARY,
+        rule_lemmas("(SELECT word AS term FROM doc_totals)"),
+        "SELECT word AS term, total, coalesce(lemma, word) AS normal "
+        "FROM doc_totals LEFT JOIN rule_lemmas ON term = word",
+    ),
+    "rule_lemmas_of_stems": sql(
+        DOC_WORDS,
+        stems("doc_totals"),
+        DICTIONARY,
+        rule_lemmas("(SELECT stem AS term FROM stems)"),
+        "SELECT word AS term, total, coalesce(lemma, stem) AS normal "
+        "FROM doc_totals JOIN stems USING (word) LEFT JOIN rule_lemmas r ON r.term = stem",
+    ),
+    "abbreviation_scores": sql(
+        SENTENCES, "SELECT type, n, n_period, round(score, 6) AS score FROM scored"
+    ),
+    "sentence_starters": sql(
+        SENTENCES, "SELECT type, n, n_start, round(score, 6) AS score FROM starters"
+    ),
+    "word_tokens": sql(
+        SENTENCES,
+        LINES,
+        f"tokens AS MATERIALIZED (SELECT doc_id, sentences, {split_words('sentences')} AS tokens FROM lines)",
+        "SELECT doc_id, CAST(CASE WHEN sentences = '' THEN 0 "
+        "ELSE len(string_split(sentences, chr(10))) END AS INTEGER) AS n_sentences, "
+        "CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS text FROM tokens",
+    ),
     "tokenize_docs": sql(DOC_TOKENS, "SELECT * FROM tokens"),
     "term_freq": sql(
         DOC_TOKENS, "SELECT post_id, term, count(*) AS tf FROM tokens GROUP BY post_id, term"
     ),
     "vocabulary": sql(*CORPUS, PLAIN, VOCAB, "SELECT term, total, term_idx FROM vocab"),
+    "vocabulary_by_summary": sql(*CORPUS, PLAIN, VOCAB, "SELECT term, total, term_idx FROM vocab"),
     "smooth_idf": sql(
         *CORPUS,
         PLAIN,
@@ -517,6 +711,7 @@ ORACLE: dict[str, str] = {
     "lemma_tag_vectors": sql(*CORPUS, LEMMATIZED, VOCAB, MEANS, ROUND_VECTORS),
     "fit_tag_vectors": sql(*MODEL, ROUND_VECTORS),
     "similar_tags": sql(*MODEL, ONE.format(name=lit(QUERY_TAG)), TOP_20),
+    "similar_tags_from_keyed_store": sql(*MODEL, ONE.format(name=lit(QUERY_TAG)), TOP_20),
     "similar_tags_ranking": sql(
         *MODEL,
         ONE.format(name=lit(QUERY_TAG)),
@@ -542,10 +737,7 @@ ORACLE: dict[str, str] = {
     "pairwise_cosine": sql(
         *MODEL,
         COSINES,
-        FIRST_VERTICES,
-        "SELECT a AS src, b AS dst, similarity FROM cosines "
-        "WHERE a IN (SELECT id FROM vertices) AND b IN (SELECT id FROM vertices) "
-        "AND a < b AND similarity > 0",
+        "SELECT a AS src, b AS dst, similarity FROM cosines WHERE a < b AND similarity > 0",
     ),
     "pairwise_cosine_all": sql(
         *MODEL,
@@ -596,7 +788,7 @@ ORACLE: dict[str, str] = {
     ),
     "detect_communities": sql(*GRAPH, COMPONENTS, LABELS, BOTH),
     "complete_graph_communities": sql(
-        *MODEL, COSINES, FIRST_VERTICES, COMPLETE, COMPONENTS, LABELS, BOTH
+        *MODEL, COSINES, VERTICES, COMPLETE, COMPONENTS, LABELS, BOTH
     ),
     "complete_graph_communities_all": sql(
         *MODEL, COSINES, VERTICES, COMPLETE, COMPONENTS, LABELS, BOTH

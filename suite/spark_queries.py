@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 
 from suite import fixture
 from tagloom import functions as TF
-from tagloom.operators import graph, posts, similarity, tags, terms, vectors
+from tagloom.operators import (
+    graph,
+    lemmas,
+    postings,
+    posts,
+    sentences,
+    similarity,
+    tags,
+    terms,
+    vectors,
+)
 from tagloom.plans import (
     TagModel,
     detect_communities,
@@ -27,9 +37,11 @@ from tagloom.sources import load_corpus as load_tables
 from tagloom.sources import (
     CorpusConfig,
     cap_rows,
+    load_keyed,
     load_tag_dim,
     load_vectors,
     new_location,
+    save_keyed,
     save_tag_dim,
     save_vectors,
     stage,
@@ -42,7 +54,7 @@ MIN_SIMILARITY = 0.8
 SCAN_LIMIT = 100
 #: The cap of a trial run, which is what that query shows.
 MAX_POSTS = 50
-#: Complete matrices and graphs ask for fewer tags than there are.
+#: The cap of ``tag_graph``, which shows it.
 COMPLETE_TAGS = 30
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +198,30 @@ def tag_post_lists(spark, sf_dir):
     )
 
 
+def _postings(spark, sf_dir) -> DataFrame:
+    corpus = fixture.corpus(spark, sf_dir)
+    return postings.bitmap_postings(tags.tag_index(corpus.posts, corpus.tags))
+
+
+@query
+def tag_bitmaps(spark, sf_dir):
+    """The tag index as bitmaps, decoded again: the rows of ``tag_index``."""
+    return postings.decode_postings(stage(_postings(spark, sf_dir), "postings"))
+
+
+@query
+def tag_bitmap_counts(spark, sf_dir):
+    return postings.posting_counts(_postings(spark, sf_dir))
+
+
+@query
+def tag_bitmaps_in_corpus(spark, sf_dir):
+    """The rows of ``corpus_semi_join``, by the bits that tags and corpus have in common."""
+    texts = posts.training_posts(_post_text(spark, sf_dir))
+    inside = postings.postings_in_corpus(_postings(spark, sf_dir), texts)
+    return postings.decode_postings(stage(inside, "postings"))
+
+
 @query
 def tag_post_ids_csv(spark, sf_dir):
     lists = tags.tag_post_lists(tags.explode_tags(fixture.corpus(spark, sf_dir).posts))
@@ -270,6 +306,26 @@ def clean_text(spark, sf_dir):
     return _document_text(spark, sf_dir, TF.clean_text)
 
 
+@query
+def clean_text_sql(spark, sf_dir):
+    """``clean_text`` as a SQL user writes it."""
+    TF.create_functions(spark, prefix="tagloom_")
+    documents = fixture.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return spark.sql(
+        "SELECT doc_id, tagloom_clean_text(text) AS text FROM {documents}", documents=documents
+    )
+
+
+@query
+def clean_pages_sql(spark, sf_dir):
+    """``clean_pages`` as a SQL user writes it."""
+    TF.create_functions(spark, prefix="tagloom_")
+    pages = fixture.table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return spark.sql(
+        "SELECT page_id, tagloom_clean_text(concat_ws(' ', html, url)) AS text FROM {pages}", pages=pages
+    )
+
+
 @query
 def clean_pages(spark, sf_dir):
     return _page_text(spark, sf_dir, TF.clean_text)
@@ -305,16 +361,16 @@ def _plurals(totals: DataFrame) -> DataFrame:
 @query
 def clean_text_full(spark, sf_dir):
     """The whole cleaner: markup to stop words, then stems, then lemmas, word by word in place."""
-    lemmas = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
+    plurals = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
     return terms.normal_text(
-        _document_text(spark, sf_dir, TF.clean_text), ["text"], stem=True, lemmas=lemmas
+        _document_text(spark, sf_dir, TF.clean_text), ["text"], stem=True, lemmas=plurals
     )
 
 
 @query
 def preprocess_text_full(spark, sf_dir):
-    lemmas = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
-    return posts.preprocess_text(_post_text(spark, sf_dir), stem=True, lemmas=lemmas)
+    plurals = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
+    return posts.preprocess_text(_post_text(spark, sf_dir), stem=True, lemmas=plurals)
 
 
 @query
@@ -325,6 +381,77 @@ def lemma_terms(spark, sf_dir):
     )
 
 
+def _dictionary(totals: DataFrame) -> DataFrame:
+    """Terms that occur at least twice."""
+    return totals.filter("total >= 2").select(F.col("term").alias("form"))
+
+
+def _exceptions(spark, sf_dir) -> DataFrame:
+    """Words of the benchmark that end in ``e``, with what is left without it."""
+    words = fixture.table(spark, sf_dir, "benchmark").select(
+        F.explode(TF.tokens(F.col("text"))).alias("term")
+    )
+    shorter = F.substring("term", F.lit(1), F.length("term") - 1)
+    return words.filter(F.col("term").endswith("e")).select("term", shorter.alias("lemma")).distinct()
+
+
+@query
+def rule_lemmas(spark, sf_dir):
+    """Lemmas of all distinct words by detachment rules, exceptions and a dictionary."""
+    totals = stage(_document_totals(spark, sf_dir), "totals")
+    found = lemmas.lemmas_by_rules(totals, _dictionary(totals), _exceptions(spark, sf_dir))
+    return terms.normal_forms(totals, stem=False, lemmas=found)
+
+
+@query
+def rule_lemmas_of_stems(spark, sf_dir):
+    """The same after stemming: stems are looked up among the terms."""
+    totals = stage(_document_totals(spark, sf_dir), "totals")
+    stems = terms.normal_forms(totals).select(F.col("normal").alias("term"))
+    found = lemmas.lemmas_by_rules(stems, _dictionary(totals), _exceptions(spark, sf_dir))
+    return terms.normal_forms(totals, lemmas=found)
+
+
+def _plain_texts(spark, sf_dir) -> DataFrame:
+    return fixture.table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+
+@query
+def abbreviation_scores(spark, sf_dir):
+    counts = sentences.type_counts(_plain_texts(spark, sf_dir))
+    return _rounded(sentences.abbreviation_scores(stage(counts, "types")), "score")
+
+
+def _sentence_model(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Abbreviations of the documents, and the scores of sentence starters."""
+    texts = _plain_texts(spark, sf_dir)
+    counts = stage(sentences.type_counts(texts), "types")
+    short = stage(sentences.abbreviations(counts), "abbreviations")
+    return short, sentences.starter_scores(texts, counts, short)
+
+
+@query
+def sentence_starters(spark, sf_dir):
+    return _rounded(_sentence_model(spark, sf_dir)[1], "score")
+
+
+@query
+def word_tokens(spark, sf_dir):
+    """All documents in sentences and word tokens, by the statistics of the documents."""
+    short, scores = _sentence_model(spark, sf_dir)
+    made = sentences.word_tokens(
+        _plain_texts(spark, sf_dir), short, sentences.sentence_starters(scores)
+    )
+    return made.select(
+        "doc_id",
+        F.when(F.col("sentences") == "", 0)
+        .otherwise(F.size(F.split("sentences", "\n")))
+        .alias("n_sentences"),
+        F.size("tokens").alias("n_tokens"),
+        F.array_join("tokens", " ").alias("text"),
+    )
+
+
 # TF-IDF
 
 
@@ -348,6 +475,12 @@ def vocabulary(spark, sf_dir):
     return terms.vocabulary(terms.term_totals(terms.tokenize(_training_words(spark, sf_dir))))
 
 
+@query
+def vocabulary_by_summary(spark, sf_dir):
+    """The same vocabulary from a bounded summary and an exact count of its candidates."""
+    return terms.vocabulary_by_summary(stage(_training_words(spark, sf_dir), "words"))
+
+
 def _training_words(spark, sf_dir) -> DataFrame:
     corpus = posts.training_posts(_post_text(spark, sf_dir))
     return terms.with_words(corpus.select("post_id", "body"), cleaned=True)
@@ -406,8 +539,8 @@ def stemmed_vocabulary(spark, sf_dir):
 
 @query
 def lemma_tag_vectors(spark, sf_dir):
-    lemmas = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
-    model = fit_tag_vectors(fixture.corpus(spark, sf_dir), stem=False, lemmas=lemmas)
+    plurals = _plurals(stage(_document_totals(spark, sf_dir), "totals"))
+    model = fit_tag_vectors(fixture.corpus(spark, sf_dir), stem=False, lemmas=plurals)
     return _rounded(model.vectors, "weight")
 
 
@@ -439,6 +572,16 @@ def similar_tags_from_store(spark, sf_dir):
     return similarity.similar_tags(model.vectors, model.tags, QUERY_TAG, include_self=False)
 
 
+@query
+def similar_tags_from_keyed_store(spark, sf_dir):
+    """The ranking from a store in buckets: vectors meet their tags without a shuffle."""
+    path = new_location(spark, "keyed")
+    model = _model(spark, sf_dir)
+    save_keyed(model.vectors, model.tags, path)
+    stored_vectors, stored_tags = load_keyed(spark, path)
+    return similarity.similar_tags(stored_vectors, stored_tags, QUERY_TAG)
+
+
 @query
 def similar_tags_all(spark, sf_dir):
     model = _model(spark, sf_dir)
@@ -448,12 +591,12 @@ def similar_tags_all(spark, sf_dir):
 @query
 def pairwise_cosine(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return similarity.pairwise_cosine(model.vectors, model.tags, COMPLETE_TAGS)
+    return similarity.pairwise_cosine(model.vectors, model.tags)
 
 
 @query
 def pairwise_cosine_all(spark, sf_dir):
-    """The matrix of all tags."""
+    """The matrix of as many tags as there are."""
     model = _model(spark, sf_dir)
     return similarity.pairwise_cosine(model.vectors, model.tags, model.tags.count())
 
@@ -541,17 +684,20 @@ def _communities(model: TagModel) -> DataFrame:
 
 @query
 def complete_graph_communities(spark, sf_dir):
+    """Communities of the complete graph over all tags, from its vertices alone."""
     model = _model(spark, sf_dir)
-    return detect_communities(model.vectors, model.tags, COMPLETE_TAGS, min_similarity=None)
+    return detect_communities(model.vectors, model.tags, min_similarity=None)
 
 
 @query
 def complete_graph_communities_all(spark, sf_dir):
-    """Communities of the complete graph over all tags."""
+    """The same communities, from all edges."""
     model = _model(spark, sf_dir)
-    return detect_communities(
-        model.vectors, model.tags, model.tags.count(), min_similarity=None
+    whole = staged(
+        graph.tag_graph(model.vectors, model.tags, model.tags.count(), min_similarity=None)
     )
+    labels = graph.label_propagation(whole).select("id", "label")
+    return graph.connected_components(whole).join(labels, "id")
 
 
 # The same operators over orders: many short posts, few large tags

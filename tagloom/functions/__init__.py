@@ -12,6 +12,7 @@ from tagloom.functions.cleaning import (
     tokens,
     words,
 )
+from tagloom.functions.sql import create_functions
 from tagloom.functions.stemming import stem_text, stem_word, stem_words
 from tagloom.functions.wordlists import ENGLISH_STOP_WORDS, HTML_ENTITIES
 
@@ -21,6 +22,7 @@ __all__ = [
     "ascii_fold",
     "clean_text",
     "clean_tokens",
+    "create_functions",
     "decode_entities",
     "drop_stopwords",
     "kept_words",

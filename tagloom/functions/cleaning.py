@@ -48,6 +48,26 @@ MARKUP = (
     r"|[!?][^>]*>"
     r")"
 )
+# What a fold over nested markup goes along: whole constructs without a tree of their own, tags, text.
+EVENTS = (
+    r"(?is)<(?:"
+    r"!--.*?(?:-->|\z)"
+    r"|!\[CDATA\[.*?\]\]>"
+    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|/?[a-z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
+    r"|/?[a-z][^>]*>"
+    r"|[!?][^>]*>"
+    r")|[^<]++|<"
+)
+# Fixed values of HTML: elements without an end, and those whose text is not text of the document.
+VOID_ELEMENTS = (
+    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img",
+    "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track",
+    "wbr",
+)
+HIDDEN_ELEMENTS = ("template", "rt", "rp")
+NESTED = r"(?i)<(?:" + "|".join(HIDDEN_ELEMENTS) + r")\b"
 REFERENCE = r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9.-]*)"
 
 
@@ -114,18 +134,60 @@ def decode_entities(text: Column, entities: Mapping[str, str] | None = None) ->
     )
 
 
+def tree_text(text: Column, separator: str = "") -> Column:
+    """The text of nested markup that a reader of the tree sees, references not yet decoded.
+
+    A fold over tags and text keeps the names of the open elements.  A start tag opens one, unless it is void
+    or closes itself; an end tag closes the last one of its name and all inside it, or nothing if there is none.
+    Text inside an open template or ruby annotation is left out, however deep it is.
+    """
+
+    def step(state: Column, event: Column) -> Column:
+        opened, seen = state["open"], state["seen"]
+        name = F.lower(F.regexp_extract(event, r"(?i)^</?([a-z][^\s/>\x00]*)", 1))
+        is_tag = event.startswith("<") & (name != "")
+        is_end = event.startswith("</")
+        alone = name.isin(*VOID_ELEMENTS, "script", "style") | event.endswith("/>")
+        # Behind the last of that name, counted from the end; zero if there is none.
+        back = F.array_position(F.reverse(opened), name)
+        closed = F.when(
+            back > 0, F.slice(opened, F.lit(1), F.size(opened) - back.cast("int"))
+        ).otherwise(opened)
+        now = F.when(
+            is_tag, F.when(is_end, closed).when(alone, opened).otherwise(F.concat(opened, F.array(name)))
+        ).otherwise(opened)
+        data = F.regexp_extract(event, r"(?is)^<!\[CDATA\[(.*)\]\]>$", 1)
+        said = (
+            F.when(~event.startswith("<") | (event == "<"), event)
+            .when(event.rlike(r"(?i)^<!\[CDATA\["), F.concat(data, F.lit(separator)))
+            .otherwise(separator)
+        )
+        hidden = F.exists(opened, lambda n: n.isin(*HIDDEN_ELEMENTS))
+        shown = F.when(hidden, seen).otherwise(F.concat(seen, said))
+        return F.struct(now.alias("open"), shown.alias("seen"))
+
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("seen"))
+    events = F.regexp_extract_all(text, F.lit(EVENTS), F.lit(0))
+    return F.aggregate(events, start, step, lambda state: state["seen"])
+
+
 def strip_markup(
     text: Column, separator: str = "", entities: Mapping[str, str] | None = None
 ) -> Column:
     """The text nodes of an HTML fragment; null gives ``""``.
 
     Text nodes are glued with ``separator``, by default nothing, so ``<p>a</p><p>b</p>`` gives
-    ``ab``.  Comments, declarations, scripts, styles and templates are left out.
+    ``ab``.  Comments, declarations, scripts, styles, templates and ruby annotations are left out.  Most
+    texts have neither of the last two, which may be nested, and need one pattern only; the others are
+    folded by ``tree_text``.
     """
     text = F.coalesce(text, F.lit(""))
-    bare = F.when(
-        F.contains(text, F.lit("<")), F.regexp_replace(text, MARKUP, "$1" + re.sub(r"([\\$])", r"\\\1", separator))
-    ).otherwise(text)
+    flat = F.regexp_replace(text, MARKUP, "$1" + re.sub(r"([\\$])", r"\\\1", separator))
+    bare = (
+        F.when(~F.contains(text, F.lit("<")), text)
+        .when(text.rlike(NESTED), tree_text(text, separator))
+        .otherwise(flat)
+    )
     return decode_entities(bare, entities)
 
 

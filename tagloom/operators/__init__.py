@@ -1,7 +1,9 @@
 from tagloom.operators.graph import (
     TagGraph,
     community_summary,
+    complete_components,
     complete_edges,
+    complete_label_propagation,
     connected_components,
     dangling_edges,
     label_propagation,
@@ -9,6 +11,13 @@ from tagloom.operators.graph import (
     tag_graph,
 )
 from tagloom.operators.joins import hot_keys, is_small, lookup_join, salted_join
+from tagloom.operators.lemmas import lemmas_by_rules
+from tagloom.operators.postings import (
+    bitmap_postings,
+    decode_postings,
+    posting_counts,
+    postings_in_corpus,
+)
 from tagloom.operators.posts import (
     build_post_text,
     corpus_counts,
@@ -19,7 +28,16 @@ from tagloom.operators.posts import (
     tagged_posts,
     training_posts,
 )
+from tagloom.operators.sentences import (
+    abbreviation_scores,
+    abbreviations,
+    sentence_starters,
+    starter_scores,
+    type_counts,
+    word_tokens,
+)
 from tagloom.operators.similarity import (
+    close_pairs,
     cosine_pairs,
     pairwise_cosine,
     similar_tags,
@@ -43,6 +61,7 @@ from tagloom.operators.terms import (
     term_totals,
     tokenize,
     vocabulary,
+    vocabulary_by_summary,
     with_words,
 )
 from tagloom.operators.vectors import (
@@ -63,10 +82,16 @@ from tagloom.operators.vectors import (
 __all__ = [
     "TagGraph",
     "Vocabulary",
+    "abbreviation_scores",
+    "abbreviations",
+    "bitmap_postings",
     "build_post_text",
     "build_tag_post",
+    "close_pairs",
     "community_summary",
+    "complete_components",
     "complete_edges",
+    "complete_label_propagation",
     "connected_components",
     "corpus_counts",
     "cosine_pairs",
@@ -74,6 +99,7 @@ __all__ = [
     "coverage",
     "dangling_edges",
     "decode_post_ids",
+    "decode_postings",
     "drop_untitled",
     "encode_post_ids",
     "explode_tags",
@@ -82,6 +108,7 @@ __all__ = [
     "in_corpus",
     "is_small",
     "label_propagation",
+    "lemmas_by_rules",
     "long_form",
     "lookup_join",
     "mean_by_tag",
@@ -89,14 +116,18 @@ __all__ = [
     "nonblank_text",
     "normal_forms",
     "pairwise_cosine",
+    "posting_counts",
+    "postings_in_corpus",
     "preprocess_text",
     "salted_join",
+    "sentence_starters",
     "similar_tags",
     "similar_tags_all",
     "similarities_to",
     "similarity_edges",
     "smooth_idf",
     "split_tags",
+    "starter_scores",
     "sum_by_tag",
     "tag_graph",
     "tag_index",
@@ -108,9 +139,12 @@ __all__ = [
     "tfidf",
     "tokenize",
     "training_posts",
+    "type_counts",
     "unit_length",
     "used_tags",
     "vectors_of",
     "vocabulary",
+    "vocabulary_by_summary",
     "with_words",
+    "word_tokens",
 ]

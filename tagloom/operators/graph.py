@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.joins import hot_keys, is_small, lookup_join
-from tagloom.operators.similarity import cosine_pairs, first_tags
+from tagloom.operators.similarity import close_pairs, cosine_pairs, first_tags
 from tagloom.sources.staging import cut_lineage
 
 
@@ -32,7 +32,7 @@ def similarity_edges(
     block_tags: int | None = None,
 ) -> DataFrame:
     """``(src, dst, weight)``, ``src < dst``, for pairs at least ``min_similarity`` similar."""
-    pairs = cosine_pairs(vectors, tags, min_similarity, block_tags)
+    pairs = close_pairs(vectors, tags, min_similarity, block_tags)
     return pairs.withColumnRenamed("similarity", "weight")
 
 
@@ -205,6 +205,41 @@ def label_propagation(graph: TagGraph, max_iter: int = 5) -> DataFrame:
     return graph.vertices.join(labels, "id")
 
 
+def complete_components(vertices: DataFrame) -> DataFrame:
+    """``connected_components`` of the complete graph over ``vertices``: one component, no edge."""
+    smallest = vertices.agg(F.min("id")).head()[0]
+    return vertices.select("id", "name", F.lit(smallest).cast(vertices.schema["id"].dataType).alias("component"))
+
+
+def complete_label_propagation(
+    vertices: DataFrame, max_iter: int = 5, self_loops: bool = True
+) -> DataFrame:
+    """``label_propagation`` of the complete graph over ``vertices``, whose ids are distinct; no edge is written.
+
+    In a complete graph every vertex hears every label as often as it is worn, only its own once less if
+    there are no ``self_loops``.  So a round needs no more than the two most frequent labels: the first, and
+    the second for vertices that wear the first and could lose it by not hearing themselves.
+    """
+    labels = vertices.select("id", F.col("id").alias("label"))
+    for _ in range(max_iter):
+        votes = labels.groupBy("label").agg(F.count("*").alias("votes"))
+        best = votes.orderBy(F.desc("votes"), "label").limit(2).collect()
+        if not best:
+            break
+        top = F.lit(best[0]["label"])
+        heard = top
+        if not self_loops:
+            n = best[0]["votes"]
+            if len(best) == 1:  # all wear it; a single vertex hears nothing and keeps it
+                second = top
+            else:
+                left, rival = (n - 1, -best[0]["label"]), (best[1]["votes"], -best[1]["label"])
+                second = F.lit(best[1]["label"]) if rival > left else top
+            heard = F.when(F.col("label") == top, second).otherwise(top)
+        labels = cut_lineage(labels.select("id", heard.cast(labels.schema["label"].dataType).alias("label")))
+    return vertices.join(labels, "id")
+
+
 def community_summary(components: DataFrame, labels: DataFrame) -> DataFrame:
     """``(method, communities)``: the number of distinct groups either method found."""
 

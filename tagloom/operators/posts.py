@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tagloom.functions.cleaning import clean_text
 from tagloom.functions.stemming import stem_text
 from tagloom.operators.terms import normal_text
+from tagloom.sources.selection import TAKEN_ROWS, first_rows
+from tagloom.sources.staging import stage
 
 
 def tagged_posts(posts: DataFrame) -> DataFrame:
@@ -85,7 +87,10 @@ def training_posts(
     vain.  ``max_posts`` caps the corpus for a trial run, by post id.
     """
     kept = nonblank_text(preprocess_text(min_score(text, score), stop_words))
-    return kept if max_posts is None else kept.orderBy("post_id").limit(max_posts)
+    if max_posts is None:
+        return kept
+    # The keys are read once more where many are asked for; cleaning is not repeated for that.
+    return first_rows(stage(kept, "capped") if max_posts > TAKEN_ROWS else kept, max_posts, "post_id")
 
 
 def corpus_counts(tag_posts: DataFrame, text: DataFrame) -> DataFrame:

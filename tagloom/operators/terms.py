@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +16,9 @@ from tagloom.functions.stemming import stem_word
 from tagloom.operators.joins import lookup_join
 from tagloom.sources.staging import stage
 
+# The summary function travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def with_words(posts: DataFrame, column: str = "body", cleaned: bool = False) -> DataFrame:
     """Replace a text column by ``words``, the array of its tokens.
@@ -106,6 +115,60 @@ def normal_text(
     return keyed.join(rewritten, "_row", "left").select(*(place.get(c, c) for c in texts.columns))
 
 
+def _summary(posts: DataFrame, kept: int) -> DataFrame:
+    """``(term, n, missed)``: per task at most ``kept`` terms with counts, and what any count may miss.
+
+    After each batch the counts beyond the ``kept`` largest are taken off: the next largest is subtracted
+    from all, as in the summary of Misra and Gries, and added to ``missed``, which stands in a row without
+    a term.
+    """
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        missed = 0
+        for batch in batches:
+            counts.update(batch.column(0).flatten().to_pylist())
+            if len(counts) > kept:
+                over = sorted(counts.values(), reverse=True)[kept]
+                missed += over
+                counts = Counter({t: n - over for t, n in counts.items() if n > over})
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([*counts, None], pa.string()),
+                pa.array([*counts.values(), None], pa.int64()),
+                pa.array([None] * len(counts) + [missed], pa.int64()),
+            ],
+            ["term", "n", "missed"],
+        )
+
+    return posts.select("words").filter("words IS NOT NULL").mapInArrow(
+        summarise, "term string, n long, missed long"
+    )
+
+
+def vocabulary_by_summary(posts: DataFrame, size: int = 1000, kept: int | None = None) -> DataFrame:
+    """``vocabulary`` of ``posts.words``, without shuffling a row for every distinct term.
+
+    A first pass sends at most ``kept`` terms per task, by default sixteen times ``size``.  Their counts
+    are too small by ``missed`` at most, over all tasks.  If the ``size``-th largest is above that, every
+    term of the vocabulary is among them, and only terms that can reach it are counted, exactly, in a second
+    pass.  Otherwise nothing is proven and all terms are counted.
+    """
+    kept = kept or 16 * size
+    summary = stage(_summary(posts, kept), "summary")
+    missed = summary.agg(F.sum("missed")).head()[0] or 0
+    least = summary.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    least = stage(least, "least_counts")
+    if not missed:  # no task had more terms than it kept: the counts are exact
+        return vocabulary(least.withColumnRenamed("n", "total"), size)
+    last = least.orderBy(F.desc("n")).limit(size).agg(F.min("n"), F.count("*")).head()
+    counted = tokenize(posts)
+    if last[1] == size and last[0] > missed:
+        candidates = least.filter(F.col("n") + missed >= last[0]).select("term")
+        counted = lookup_join(counted, candidates, "term", salt_by="post_id")
+    return vocabulary(term_totals(counted), size)
+
+
 def vocabulary(totals: DataFrame, size: int = 1000) -> DataFrame:
     """``(term, total, term_idx)``: the ``size`` most frequent terms, numbered alphabetically.
 

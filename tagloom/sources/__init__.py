@@ -1,3 +1,5 @@
+from tagloom.sources.keyed import forget_keyed, load_keyed, save_keyed
+from tagloom.sources.selection import first_rows
 from tagloom.sources.staging import (
     cut_lineage,
     new_location,
@@ -34,12 +36,16 @@ __all__ = [
     "cap_rows",
     "conform",
     "cut_lineage",
+    "first_rows",
+    "forget_keyed",
     "load_corpus",
+    "load_keyed",
     "load_tag_dim",
     "load_vectors",
     "make_corpus",
     "new_location",
     "read_table",
+    "save_keyed",
     "save_tag_dim",
     "save_vectors",
     "scratch_space",

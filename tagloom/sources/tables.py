@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.sources.selection import first_rows
+
 POSTS_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -55,7 +57,7 @@ def read_table(
 
 def cap_rows(df: DataFrame, limit: int | None, order_by: str = "id") -> DataFrame:
     """The first ``limit`` rows by ``order_by``; ``None`` keeps them all."""
-    return df if limit is None else df.orderBy(order_by).limit(limit)
+    return df if limit is None else first_rows(df, limit, order_by)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 import re
 import string
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from tagloom import functions as TF
+from tagloom.functions import cleaning as TC
 from tagloom.functions import stemming as ST
 from tagloom.functions.wordlists import ENGLISH_STOP_WORDS
 
@@ -277,3 +279,61 @@ def test_separator_is_plain_text(spark):
     for mark in ("$", "\\", "$1", " "):
         got = df.select(strip_markup(df["t"], mark).alias("x")).head()["x"]
         assert got.replace(mark, "") == "ab" and mark in got
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    texts = [t for t, _ in MARKUP] + ["It's &amp;lt; 'q' http://a.b/c  Don’t ", " the　 x\u0085", "&#x80;&notit;&unknown; \\ $1"]
+    names = TF.create_functions(spark, prefix="probe_")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for name in names:
+        column = getattr(TF, name.removeprefix("probe_"))
+        made = spark.sql(f"SELECT i, {name}(text) AS text FROM {{df}}", df=df)
+        assert "Python" not in made._jdf.queryExecution().toString()
+        expected = df.select("i", column(F.col("text")).alias("text"))
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, expected.collect())), name
+
+
+class Tree(HTMLParser):
+    """Text outside hidden elements, with the open elements in a list; the reference for nested markup."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.open, self.seen = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in TC.VOID_ELEMENTS:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not {"script", "style", "template", "rt", "rp"} & set(self.open):
+            self.seen.append(data)
+
+
+def test_nested_markup_is_read_as_a_tree(spark):
+    rng = random.Random(12)
+    tags = ["p", "b", "template", "TEMPLATE", "ruby", "rt", "rp", "div", "br", "img"]
+
+    def part():
+        tag = rng.choice(tags)
+        return rng.choice(
+            ["text ", "é", "1 < 2 ", f"<{tag}>", f"<{tag}>", f"<{tag} a='x>y' b>", f"</{tag}>", f"</{tag}>", f"</{tag} >", f"<{tag}/>",
+             "<!-- <rt> -->", "<script>var a = '</p><rt>';</script>", "<style>p {}</style>", "w"]
+        )
+
+    texts = ["".join(part() for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += ["<template><template>a</template>b</template>c", "<ruby>k<rt>a<b>c</rt>d</ruby>e", "<div><rt>x</div>y", "<rt>" * 300 + "z" + "</rt>" * 299 + "q</rt>r"]
+    found = apply(spark, texts, TF.strip_markup, lambda t: TF.strip_markup(t, separator="|"))
+    for text, (glued, apart) in zip(texts, found):
+        tree = Tree()
+        tree.feed(text)
+        tree.close()
+        assert glued == "".join(tree.seen), text
+        assert apart.replace("|", "") == glued.replace("|", "")

@@ -240,3 +240,19 @@ def test_staging_uses_the_folder_the_session_names(spark):
     where = new_location(spark, "t")
     assert where.startswith((named or shared_dir(spark)).rstrip("/") + "/")
     assert where != new_location(spark, "t")
+
+
+@pytest.mark.parametrize("kept", [8, 20, 1000])
+def test_vocabulary_by_summary_is_the_vocabulary(spark, kept):
+    rng = random.Random(kept)
+    names = [f"t{i:03d}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(i, rng.choices(names, weights, k=rng.randint(0, 40))) for i in range(600)] + [(601, None)]
+    posts = spark.createDataFrame(rows, "post_id bigint, words array<string>").repartition(5)
+    for size in (1, 5, 400):
+        expected = TM.vocabulary(TM.term_totals(TM.tokenize(posts)), size).collect()
+        assert sorted(TM.vocabulary_by_summary(posts, size, kept).collect()) == sorted(expected)
+    flat = spark.createDataFrame([(i, [f"u{i}"]) for i in range(500)], "post_id bigint, words array<string>")
+    assert sorted(TM.vocabulary_by_summary(flat, 5, 8).collect()) == sorted(TM.vocabulary(TM.term_totals(TM.tokenize(flat)), 5).collect())
+    summary = TM._summary(posts, 8).filter("term IS NOT NULL")
+    assert summary.count() <= 8 * posts.rdd.getNumPartitions() + 8
