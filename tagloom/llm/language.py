@@ -8,8 +8,10 @@ so the cost of a byte depends on its context alone, and the exact code length of
 the sum of its bytes' costs.  The language with the shortest code is predicted; the score is its posterior
 probability under equal priors.
 
-Contexts that any language saw are states; bytes that none saw share one symbol.  The costs of all symbols in
-all states are one table, so that coding a text is a few gathers over its bytes.
+All contexts of the sample are kept.  The cost of a byte after its two last bytes is a row of a table over
+languages, with the escapes from unseen strings below it.  What the third byte before changes is stored
+sparsely: each context of three bytes lists the languages that saw it, with their escape, and each of its
+continuations their gain.  So coding a text is a few searches for its strings and sums over what is found.
 """
 
 from __future__ import annotations
@@ -28,9 +30,8 @@ from tagloom.sources.staging import stage
 
 FOLDS, HELD_OUT = 3, 1
 ORDER = 3
-#: How many training documents of a language are read, in expectation, and how many contexts are kept.
+#: How many training documents of a language are read, in expectation.
 SAMPLE_ROWS = 2_000
-CONTEXTS = 30_000
 UNKNOWN = "und"
 PIECE = 1 << 20
 
@@ -63,76 +64,120 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Table:
+    """Rows of costs, or lists of them, under sorted strings."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the strings, and which of them are there."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return at, self.keys[at] == wanted
+
+
+class Lists(Table):
+    """For each key the languages that have a value, and the values."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        keys, first = np.unique(key[order], return_index=True)
+        super().__init__(keys)
+        self.first = np.append(first, len(key))
+        self.lang, self.value = lang[order], value[order].astype(np.float32)
+
+    def sums(self, at: np.ndarray, langs: int) -> np.ndarray:
+        """The values at the places, added up by language."""
+        size = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.lang[entry], self.value[entry], langs)
+
+
 class Model:
-    """Costs in bits by state, symbol and language."""
+    """Costs in bits by language; see the module's text."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
-        seen = np.unique(np.append(gram & 255, 0))  # zeros stand before a text
-        self.symbol = np.zeros(256, np.int64)  # 0: a byte that no language saw
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.width = len(seen) + 1
-        # The most frequent whole contexts become states; state 0 is any other context.
-        context, at = np.unique(gram >> 8, return_inverse=True)
-        totals = np.bincount(at, n)
-        chosen = np.sort(context[np.argsort(-totals, kind="stable")[:CONTEXTS]])
-        self.state = self._dense(chosen)
-        self.costs = np.stack(
-            [self._language_costs(gram[lang == k], n[lang == k], chosen) for k in range(len(langs))],
-            axis=-1,
-        ).astype(np.float32).reshape(-1, len(langs))
-
-    def _dense(self, contexts: np.ndarray) -> np.ndarray:
-        """State of every context, by its symbols."""
-        table = np.zeros(self.width**ORDER, np.int32)
-        key = np.zeros(len(contexts), np.int64)
-        known = np.ones(len(contexts), bool)
-        for i in reversed(range(ORDER)):
-            symbol = self.symbol[contexts >> (8 * i) & 255]
-            known &= symbol > 0
-            key = key * self.width + symbol
-        table[key[known]] = np.flatnonzero(known) + 1
-        return table
-
-    def _language_costs(self, gram: np.ndarray, n: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """``(states, symbols)`` costs of one language, by backing off from each state's context."""
-        costs = np.full((len(chosen) + 1, self.width), 8.0)  # uniform over bytes
-        for order in range(ORDER + 1):
+        # Below the shortest context all bytes cost the same.
+        costs = np.full((256, len(langs)), 8.0)
+        self.below: list[tuple[Table, np.ndarray, Table, np.ndarray]] = []
+        for order in range(ORDER):
             mask = (1 << 8 * (order + 1)) - 1
-            short, at = np.unique(gram & mask, return_inverse=True)
-            count = np.bincount(at, n)
-            context, where = np.unique(short >> 8, return_inverse=True)
-            total, distinct = np.bincount(where, count), np.bincount(where)
-            # Which of this language's contexts each state ends in; state 0 knows the empty one only.
-            tail = np.concatenate([[0], chosen & (mask >> 8)])
-            found = np.searchsorted(context, tail).clip(0, max(0, len(context) - 1))
-            has = context[found] == tail if len(context) else np.zeros(len(tail), bool)
-            if order:
-                has[0] = False
-            escape = np.log2((total + distinct) / distinct) if len(context) else total
-            costs[has] += escape[found[has], None]
-            # Bytes seen after the context are coded there.
-            states = np.flatnonzero(has)
-            by_context = np.argsort(found[states], kind="stable")
-            states, owner = states[by_context], found[states][by_context]
-            begin, end = np.searchsorted(owner, where, "left"), np.searchsorted(owner, where, "right")
-            size = end - begin
-            rows = states[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            cost = np.log2((total + distinct)[where] / count)
-            costs[rows, np.repeat(self.symbol[short & 255], size)] = np.repeat(cost, size)
-        return costs
+            strings = Table(np.unique(gram & mask))
+            contexts = Table(np.unique(strings.keys >> 8))
+            escapes = np.zeros((len(contexts.keys), len(langs)))
+            own = self._missed(strings.keys, costs, order) if order else costs[strings.keys & 255].copy()
+            for k in range(len(langs)):
+                short, context, cost, escape = self._counted(gram[lang == k] & mask, n[lang == k])
+                at = contexts.find(context)[0]
+                escapes[at, k] = escape
+                own[:, k] += escapes[contexts.find(strings.keys >> 8)[0], k]
+                own[strings.find(short)[0], k] = cost
+            self.below.append((strings, own.astype(np.float32), contexts, escapes.astype(np.float32)))
+            costs = own
+        keys, who, gains = [], [], []
+        context_keys, context_who, context_escapes = [], [], []
+        every = np.unique(gram)
+        for k in range(len(langs)):
+            short, context, cost, escape = self._counted(gram[lang == k], n[lang == k])
+            context_keys.append(context)
+            context_escapes.append(escape)
+            context_who.append(np.full(len(context), k))
+            # Of every string after a context that the language saw: the escape, or the gain of having seen it.
+            seen = Table(context)
+            at, known = seen.find(every >> 8)
+            strings, value = every[known], escape[at[known]]
+            place = np.searchsorted(strings, short)
+            value[place] = cost - self.shorter(short & ((1 << 8 * ORDER) - 1))[:, k]
+            keys.append(strings)
+            gains.append(value)
+            who.append(np.full(len(strings), k))
+        self.strings = Lists(*(np.concatenate(x) for x in (keys, who, gains)))
+        self.contexts = Lists(*(np.concatenate(x) for x in (context_keys, context_who, context_escapes)))
+
+    @staticmethod
+    def _counted(gram: np.ndarray, n: np.ndarray):
+        """``(string, context, cost, escape)`` of one language: distinct strings and their contexts."""
+        short, at = np.unique(gram, return_inverse=True)
+        count = np.bincount(at, n)
+        context, where = np.unique(short >> 8, return_inverse=True)
+        total, distinct = np.bincount(where, count), np.bincount(where)
+        return short, context, np.log2((total + distinct)[where] / count), np.log2((total + distinct) / distinct)
+
+    def _missed(self, strings: np.ndarray, costs: np.ndarray, order: int) -> np.ndarray:
+        """Costs of strings by what is one byte shorter; every one of these was seen."""
+        return costs[self.below[order - 1][0].find(strings & ((1 << 8 * order) - 1))[0]].copy()
+
+    def shorter(self, strings: np.ndarray, order: int = ORDER - 1) -> np.ndarray:
+        """Costs by language of the last byte of strings of ``order + 1`` bytes, seen or not."""
+        known, rows, contexts, escapes = self.below[order]
+        at, there = known.find(strings)
+        if not len(known.keys):
+            return np.full((len(strings), len(self.langs)), 8.0)
+        out = rows[at].astype(float)
+        missed = np.flatnonzero(~there)
+        if len(missed):
+            left = strings[missed]
+            place, seen = contexts.find(left >> 8)
+            escape = np.where(seen[:, None], escapes[place], 0.0)
+            out[missed] = escape + (self.shorter(left & ((1 << 8 * order) - 1), order - 1) if order else 8.0)
+        return out
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits of the whole text under each language."""
-        bits = np.zeros(len(self.langs))
+        langs = len(self.langs)
+        bits = np.zeros(langs)
         before = bytes(ORDER)
         for at in range(0, len(text), PIECE):
             piece = text[at : at + PIECE]
-            symbols = self.symbol[np.frombuffer(before + piece, np.uint8)]
-            key = np.zeros(len(piece), np.int64)
-            for i in range(ORDER):
-                key = key * self.width + symbols[i : i + len(piece)]
-            bits += self.costs[self.state[key] * self.width + symbols[ORDER:]].sum(axis=0, dtype=float)
+            grams = pack(before + piece, ORDER)[ORDER:]
+            bits += self.shorter(grams & ((1 << 8 * ORDER) - 1)).sum(axis=0)
+            place, there = self.strings.find(grams)
+            bits += self.strings.sums(place[there], langs)
+            place, there = self.contexts.find(grams[~there] >> 8)
+            bits += self.contexts.sums(place[there], langs)
             before = (before + piece)[-ORDER:]
         return bits
 

@@ -15,6 +15,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -56,6 +57,11 @@ def digest_text(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+def unquoted(page_id: str | None) -> str | None:
+    """An id from its header, where it stands percent-encoded; a null id has no header."""
+    return None if page_id is None else unquote(page_id)
+
+
 def make_record(
     page_id: str | None, url: str | None, payload: bytes, sha1: bytes, first: str | None, revisit: bool
 ) -> bytes:
@@ -71,13 +77,14 @@ def make_record(
         f"WARC-Payload-Digest: sha1:{digest_text(sha1)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
-        f"Page-ID: {'' if page_id is None else page_id}",
     ]
+    if page_id is not None:
+        head.append(f"Page-ID: {quote(page_id)}")
     if revisit:
         head += [
             f"WARC-Profile: {PROFILE}",
             f"WARC-Refers-To: {record_id(first)}",
-            f"Refers-To-Page-ID: {first}",
+            f"Refers-To-Page-ID: {quote(first)}",
         ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -99,11 +106,11 @@ def read_record(raw: bytes) -> tuple:
     ):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
     return (
-        fields["Page-ID"] or None,
+        unquoted(fields.get("Page-ID")),
         size,
         digest,
         kind,
-        fields.get("Refers-To-Page-ID"),
+        unquoted(fields.get("Refers-To-Page-ID")),
         payload if kind == "response" else None,
     )
 
