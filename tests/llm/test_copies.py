@@ -216,17 +216,69 @@ def test_suffix(docs, rows, no_docs, share, monkeypatch):
         assert suffix.repeat_report(no_docs).count() == 0
 
 
-def test_run_index_marks_what_starts_earlier():
+def mutated(rng, base, alphabet):
+    out = bytearray(base[rng.randint(0, 40) :])
+    for _ in range(rng.randint(0, 3)):
+        out[rng.randrange(len(out))] = rng.choice(alphabet + b"z")
+    return bytes(out)
+
+
+def test_matching_statistics_of_texts_that_are_not_in_the_index():
+    rng = random.Random(1)
+    for alphabet in [b"ab", b"abc", b"abcdefgh", bytes(range(256))] * 10:
+        base = bytes(rng.choice(alphabet) for _ in range(rng.randint(100, 260)))
+        indexed = [mutated(rng, base, alphabet) for _ in range(rng.randint(1, 4))] + [base[: rng.randint(1, 80)]]
+        texts = [mutated(rng, base, alphabet), bytes(rng.choice(alphabet) for _ in range(130)), b"\xff\xfe" * 60, b""]
+        lengths, begins = suffix.RunIndex(indexed).stream(texts)
+        for text, begin in zip(texts, begins):
+            longest = 0
+            for i in reversed(range(len(text))):  # a match is at most one byte longer than the next one
+                longest = min(longest + 1, suffix.LENGTH)
+                while longest and not any(text[i : i + longest] in t for t in indexed):
+                    longest -= 1
+                assert lengths[begin + i] == longest
+
+
+def test_indexed_texts_count_earlier_places_only():
     rng = random.Random(1)
     letters = bytes(rng.choice(b"abc") for _ in range(400))
     texts = [letters[:180], letters[40:260], b"ab" * 90, letters[100:230], b"ab" * 70, letters[:99]]
-    marks = suffix.RunIndex(texts).stream(texts)
-    seen, at = set(), 0
-    for t in texts:
+    lengths, begins = suffix.RunIndex(texts).stream(texts, np.arange(len(texts)))
+    seen = set()
+    for t, begin in zip(texts, begins):
         for s in range(len(t) - 99):
-            assert marks[at + s] == (t[s : s + 100] in seen)
+            assert (lengths[begin + s] == suffix.LENGTH) == (t[s : s + 100] in seen)
             seen.add(t[s : s + 100])
-        at += len(t) + 1
+
+
+def test_rounds_find_every_later_window(monkeypatch):
+    rng = random.Random(3)
+    sizes = []
+    real = suffix.RunIndex.__init__
+    monkeypatch.setattr(suffix.RunIndex, "__init__", lambda self, t: (sizes.append((sum(map(len, t)), len(t))), real(self, t))[1])
+    for _ in range(120):
+        alphabet = rng.choice([b"ab", b"abcd", b"abcdefghij "])
+        anchors, texts = [], []
+        for group in range(rng.randint(1, 4)):
+            base = bytes(rng.choice(alphabet) for _ in range(rng.randint(120, 300)))
+            for _ in range(rng.randint(1, 6)):
+                text = mutated(rng, base, alphabet) if rng.random() > 0.1 else base[:7] * 40
+                text = text if len(text) >= 100 else text + bytes(rng.choice(alphabet) for _ in range(100))
+                anchors.append(group)
+                texts.append(bytes(x ^ group << 5 for x in text))  # windows of one anchor only
+        limit = rng.choice([200, 500, 10_000])
+        sizes.clear()
+        found = Counter()
+        for owner, offset, n in suffix.later_windows(np.array(anchors), np.ones(len(texts), bool), texts, limit):
+            found.update((int(o), int(a) + i) for o, a, k in zip(owner, offset, n) for i in range(k))
+        seen, expected = {}, Counter()
+        for i, text in enumerate(texts):
+            own = seen.setdefault(anchors[i], set())
+            for j in range(len(text) - 99):
+                expected[(i, j)] += text[j : j + 100] in own
+                own.add(text[j : j + 100])
+        assert found == +expected
+        assert all(size <= limit or n < 6 for size, n in sizes)
 
 
 def test_long_text_in_portions(monkeypatch, spark):
