@@ -301,6 +301,9 @@ def plan_blocks(
     spark = vectors.sparkSession
     n_tags = tags.count()
     size = block_tags or _block_size(vectors, n_tags)
+    if n_tags <= size:  # one block, which meets itself only
+        rows = _unit_rows(vectors, tags).withColumn("block", F.lit(0))
+        return BlockPlan(rows, np.zeros((1, 1)), np.array([math.pi]), [(0, 0)])
     width = 1 + (vectors.agg(F.max("term_idx")).head()[0] or 0)
     rows = stage(_unit_rows(vectors, tags), "unit_vectors")
     pivots = rows.orderBy(F.xxhash64("tag_id"), "tag_id").limit(math.ceil(n_tags / size)).toArrow()
