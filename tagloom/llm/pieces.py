@@ -10,7 +10,7 @@ Compatibility of two tokens needs no simulation: their last merges are undone on
 and the pair is compatible if no merge across the border would have come before.
 
 No piece holds a blank sign after another character, and none holds a line feed, so texts are cut there
-and the pieces of a cut are remembered in a table of bounded size.  A vocabulary for which this does not
+and the pieces of a cut are remembered in a table of bounded bytes.  A vocabulary for which this does not
 hold is encoded without cuts.  Decoding gathers the bytes of all ids at once.
 """
 
@@ -29,7 +29,12 @@ from pyspark.sql import types as T
 from tagloom.llm.common import share, shared, with_columns
 
 BLANK = "▁"
-REMEMBERED = 400_000
+#: Bytes of each of the two generations of remembered chunks, and of remembered pairs, in one worker.
+CHUNK_BYTES = 32 << 20
+PAIR_BYTES = 24 << 20
+#: What an entry takes besides its characters and ids: two objects and their place in the table.
+ENTRY_BYTES = 150
+PAIR_ENTRY_BYTES = 100
 DECODE_IDS = 1 << 18
 
 
@@ -111,20 +116,21 @@ def read_vocabulary(path: str) -> Vocabulary:
 class PrefixEncoder:
     """Encodes text with one vocabulary.
 
-    ``remembered`` bounds each of the two generations of chunks whose ids are kept: when the younger is
+    ``chunk_bytes`` bounds each of the two generations of chunks whose ids are kept: when the younger is
     full it becomes the older, and what is used again moves back.
     """
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BYTES):
         self.v = vocabulary
         self.automaton = None
         self.characters = {t for t in vocabulary.pieces if len(t) == 1}
         inner = any(BLANK in t.lstrip(BLANK) or "\n" in t for t in vocabulary.pieces)
-        self.cuts = None if inner else re.compile(f"{BLANK}+[^{BLANK}\n]*|\n+|[^{BLANK}\n]+")
+        # A space and the blank sign are the same to the model; plain text makes shorter keys.
+        self.cuts = None if inner else re.compile(f"[ {BLANK}]+[^ {BLANK}\n]*|\n+|[^ {BLANK}\n]+")
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.chunk_bytes, self.held_bytes = chunk_bytes, 0
         single = np.zeros(len(vocabulary.bytes_), np.int64)
         single[:] = [len(b) for b in vocabulary.bytes_]
         self.lengths = single
@@ -166,6 +172,8 @@ class PrefixEncoder:
         if self.automaton is None:
             self.automaton = self.make_automaton()
         for end, (token, size) in self.automaton.iter(text):
+            if last[end] >= 0:  # a prefix has one last token only
+                continue
             before = end - size
             if before < 0:
                 last[end] = token
@@ -174,7 +182,7 @@ class PrefixEncoder:
             key = left << 24 | token
             fits = pairs.get(key)
             if fits is None:
-                if len(pairs) >= 4 * self.remembered:
+                if len(pairs) * PAIR_ENTRY_BYTES >= PAIR_BYTES:
                     pairs.clear()
                 fits = pairs[key] = self.compatible(left, token)
             if fits:
@@ -219,20 +227,20 @@ class PrefixEncoder:
         begin, end = np.array([[self.v.bos], [self.v.eos]], "<u4")
         if not text:
             return begin.tobytes() + end.tobytes()
-        marked = BLANK + text.replace(" ", BLANK)
-        chunks = self.cuts.findall(marked) if self.cuts else [marked]
+        chunks = self.cuts.findall(" " + text) if self.cuts else [" " + text]
         known, out = self.chunks, [begin.tobytes()]
         for chunk in chunks:
             ids = known.get(chunk)
             if ids is None:
                 ids = self.older.get(chunk)
                 if ids is None:
-                    ids = self.encode_chunk(chunk)
+                    ids = self.encode_chunk(chunk.replace(" ", BLANK))
                 if len(chunk) < 100:
-                    if len(known) >= self.remembered:
-                        self.older = known
+                    if self.held_bytes >= self.chunk_bytes:
+                        self.older, self.held_bytes = known, 0
                         known = self.chunks = {}
                     known[chunk] = ids
+                    self.held_bytes += ENTRY_BYTES + len(chunk) + len(ids)
             out.append(ids)
         out.append(end.tobytes())
         return b"".join(out)
