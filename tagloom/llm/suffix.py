@@ -9,11 +9,14 @@ stretches are found first, from counts that add up locally; their stretches are
 windows dealt by the window's own hash, so a passage in a third of all documents fills no task.
 
 **Index.**  Where different stretches share an anchor, only an index can tell which windows repeat.  Their
-texts are fetched and indexed by groups of anchors: suffixes are sorted, the transform is cut into runs of
-one symbol inside one class of equal ``LENGTH``-byte strings, and each run keeps its sampled end, the row its
-end maps to, and the earliest text position.  Texts are then streamed through the index from their ends, all
-in step: a row leads to its run, the run to the row of the longer suffix, and once at least ``LENGTH`` bytes
-match, the earliest position of the class tells whether they also start earlier.
+texts are fetched and taken by groups of anchors, in rounds.  The index of a round holds the first texts of
+each anchor that are left: suffixes are sorted, the transform is cut into runs of one symbol, and each run
+keeps the text positions of its two ends and the row that it maps to.  The later texts are streamed through
+it from their ends, all in step, to get their matching statistics up to ``LENGTH``: where a byte extends the match,
+its run leads to the next row; where it does not, the match is anchored anew at the nearest run of that byte
+above or below, whichever end matches longer.  Windows that match start earlier; what does not match
+goes on to the next round, whose index holds four times as many texts of an anchor, and a text that has nothing left, or
+no other beside it, is never indexed.  No index exceeds ``INDEX_BYTES`` unless one text does.
 
 **Removal.**  Marked windows return to their documents as ranges, where covered bytes are dropped.
 """
@@ -38,7 +41,9 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes cut at a time, and bytes in one index.
 CUT_BYTES = 1 << 20
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 2 << 20
+#: Bytes that two texts are compared in at a time.
+BLOCK = 8
 #: Where a null id stands in the order of documents.
 LAST_ID = 2**63 - 1
 
@@ -144,6 +149,17 @@ def stretches(roller: Roller, text: bytes, ends: np.ndarray):
     return anchor, begin, covered[stop] - covered[begin], sums, part[begin], loops
 
 
+def anchors_alone(roller: Roller, text: bytes, ends: np.ndarray) -> np.ndarray:
+    """The anchors of ``stretches``, one for each change, without what else a cut needs."""
+    anchors = smallest(roller.every(roller.sums(np.frombuffer(text, np.uint8)), GRAM), SPAN)
+    new = np.ones(len(anchors), bool)
+    new[1:] = anchors[1:] != anchors[:-1]
+    for end in ends.tolist():  # no window begins here; the next text has its own first stretch
+        new[end - LENGTH + 1 : end] = False
+        new[end : end + 1] = True
+    return anchors[new]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -160,7 +176,7 @@ def frequent_anchors(docs: DataFrame, share_of_all: float) -> np.ndarray:
         roller = Roller()
         for batch in batches:
             found = [
-                stretches(roller, text, ends)[0]
+                anchors_alone(roller, text, ends)
                 for _, text, ends in segments(arrow_bytes(batch.column(0)))
             ]
             if found:
@@ -272,7 +288,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 0, we
         yield held.combine_chunks()
 
 
-MARKED = "anchor long, doc long, tie long, start long, windows long, open boolean"
+MARKED = "anchor long, doc long, tie long, start long, windows long, loops boolean, open boolean"
 
 
 def sorted_out(dealt: DataFrame) -> DataFrame:
@@ -297,8 +313,8 @@ def sorted_out(dealt: DataFrame) -> DataFrame:
             gone = known | gone
             keep = gone | open_
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (anchor, doc, tie, start, windows, open_ & ~gone)],
-                ["anchor", "doc", "tie", "start", "windows", "open"],
+                [pa.array(x[keep]) for x in (anchor, doc, tie, start, windows, loops, open_ & ~gone)],
+                ["anchor", "doc", "tie", "start", "windows", "loops", "open"],
             )
 
     rows = dealt.repartition("route").sortWithinPartitions(
@@ -324,14 +340,24 @@ def ordered(keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
+def packed(text: bytes) -> np.ndarray:
+    """The ``BLOCK`` bytes from each place on as one word, the first one lowest; zeros follow the text."""
+    raw = np.frombuffer(text + bytes(BLOCK), np.uint8).astype(np.uint64)
+    words = np.zeros(len(text) + 1, np.uint64)
+    for i in range(BLOCK):
+        words |= raw[i : i + len(words)] << np.uint64(8 * i)
+    return words
+
+
 class RunIndex:
     """A Burrows-Wheeler transform of several texts in runs, with what streaming through it needs."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) + 1 for t in texts])
         n = int(sizes.sum())
-        #: Where each text's end mark stands.
+        #: Where each text begins, and where its end mark stands.
         self.stops = np.cumsum(sizes) - 1
+        self.begins = self.stops - sizes + 1
         symbols = np.zeros(n, np.int64)
         inner = np.ones(n, bool)
         inner[self.stops] = False
@@ -356,71 +382,202 @@ class RunIndex:
             order, rank = ordered(key, n * (n + 1))
         row_of = np.empty(n, np.int64)
         row_of[order] = at
-        # Rows of one class share their first LENGTH bytes.
-        whole = (order + LENGTH <= end[order])
-        far = half[np.minimum(order + LENGTH - 56, n - 1)]
+        # Rows of one class share their first LENGTH bytes; each class knows its earliest text position.
         new_class = np.ones(n, bool)
-        new_class[1:] = ~(
-            whole[1:] & whole[:-1] & (half[order][1:] == half[order][:-1]) & (far[1:] == far[:-1])
-        )
+        if half is not None:
+            whole = order + LENGTH <= end[order]
+            far = half[np.minimum(order + LENGTH - 56, n - 1)]
+            new_class[1:] = ~(
+                whole[1:] & whole[:-1] & (half[order][1:] == half[order][:-1]) & (far[1:] == far[:-1])
+            )
+        self.classes = np.flatnonzero(new_class)
+        self.earliest = np.minimum.reduceat(order, self.classes)
+        # Runs of the symbol before each suffix, in suffix order; rows of a run map to rows in a row.
         before = symbols[order - 1]
-        new_run = new_class.copy()
-        new_run[1:] |= before[1:] != before[:-1]
-        self.starts = np.flatnonzero(new_run)
-        #: The text position at each run's end, and the row that the end is mapped to.
-        self.sample = order[self.starts]
-        self.maps_to = row_of[self.sample - 1]
+        self.starts = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        self.ends = np.append(self.starts[1:], n) - 1
         self.symbol = before[self.starts]
-        in_class = np.cumsum(new_class)[self.starts] - 1
-        earliest = np.minimum.reduceat(order, self.starts)
-        by_class = np.full(in_class[-1] + 1, n)
-        np.minimum.at(by_class, in_class, earliest)
-        self.earliest = by_class[in_class]
+        self.first, self.last = order[self.starts], order[self.ends]
+        self.maps_to = row_of[self.first - 1]
         self.end_rows = row_of[self.stops]
-
-    def stream(self, texts: list[bytes]) -> np.ndarray:
-        """For every byte of the indexed ``texts``, end marks included: whether at least ``LENGTH`` bytes
-        from it match earlier ones."""
-        marks = np.zeros(int(self.stops[-1]) + 1, bool)
-        rows, place = self.end_rows.copy(), self.stops.copy()
-        left = np.array([len(t) for t in texts])
+        runs = len(self.starts)
+        #: The run of each row, instead of a search among the starts.
+        self.run_of = np.repeat(np.arange(runs, dtype=np.int32), self.ends - self.starts + 1)
+        self.by_symbol = np.sort(self.symbol * runs + np.arange(runs))
+        self.words = packed(b"\0".join(texts))
+
+    def common(self, words: np.ndarray, place: np.ndarray, at: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """How many bytes, up to ``limit``, the queries from ``place`` share with the texts from ``at``.
+
+        ``words`` are the queries, packed.
+        """
+        limit = np.minimum(limit, self.stops[np.searchsorted(self.stops, at)] - at)
+        found = np.zeros(len(place), np.int64)
+        left = np.flatnonzero(limit > 0)
+        while len(left):
+            done = found[left]
+            other = words[place[left] + done] ^ self.words[at[left] + done]
+            # The lowest bit that differs tells how many of the bytes, from the first on, do not.
+            lowest = (other & (~other + np.uint64(1))).astype(float)
+            same = np.where(other == 0, BLOCK, (np.frexp(lowest)[1] - 1) // 8)
+            found[left] = np.minimum(done + same, limit[left])
+            left = left[(same == BLOCK) & (found[left] < limit[left])]
+        return found
+
+    def anchored(self, words, symbol, run, place, length):
+        """``(run, row, length)`` of the longest match before ``symbol`` among the nearest runs of it.
+
+        ``length`` is -1 where the index does not hold the symbol.
+        """
+        runs = len(self.starts)
+        k = np.searchsorted(self.by_symbol, symbol * runs + run)
+        below, above = self.by_symbol[np.minimum(k, runs - 1)], self.by_symbol[np.maximum(k - 1, 0)]
+        best = np.full(len(run), -1)
+        out_run, out_row = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)
+        for near, real, sample, row in (
+            (above, k > 0, self.last, self.ends),
+            (below, k < runs, self.first, self.starts),
+        ):
+            real = np.flatnonzero(real & (near // runs == symbol))
+            other = near[real] % runs
+            shared = self.common(words, place[real] + 1, sample[other], length[real])
+            longer = shared > best[real]
+            real, other = real[longer], other[longer]
+            best[real], out_run[real], out_row[real] = shared[longer], other, row[other]
+        return out_run, out_row, best
+
+    def stream(
+        self, texts: list[bytes], member: np.ndarray | None = None, least: int = 0
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``(length, begins)``: at each byte of ``texts``, one after the other, how long the match is.
+
+        Lengths are matching statistics up to ``LENGTH``: the longest string from the byte on that the index
+        holds too.  A text that is the indexed text ``member`` matches itself; there lengths of ``LENGTH`` count
+        only where these bytes have an earlier place in the index, and are 0 elsewhere.  Where no match of
+        ``least`` bytes can come any more, a text is given up, and its lengths before that are 0.
+        """
+        sizes = np.array([len(t) for t in texts], np.int64)
+        stops = np.cumsum(sizes)
+        begins = stops - sizes
+        raw = b"".join(texts)
+        words, queries = packed(raw), np.frombuffer(raw, np.uint8)
+        lengths = np.zeros(len(raw), np.int64)
+        who = np.arange(len(texts))
+        place, left = stops.copy(), sizes.copy()
+        rows = np.zeros(len(texts), np.int64) if member is None else self.end_rows[member]
         length = np.zeros(len(texts), np.int64)
-        run = np.searchsorted(self.starts, rows, "right") - 1
-        while len(rows):
-            go = left > 0
-            rows, place, left, run, length = rows[go], place[go], left[go], run[go], length[go]
-            rows = self.maps_to[run] + rows - self.starts[run]
-            run = np.searchsorted(self.starts, rows, "right") - 1
-            place, left, length = place - 1, left - 1, length + 1
-            marks[place[(length >= LENGTH) & (self.earliest[run] < place)]] = True
-        return marks
+        while True:
+            alive = (left > 0) & (length + left >= least)
+            n = np.count_nonzero(alive)
+            if not n:
+                return lengths, begins
+            if n < 0.8 * len(alive):  # the others are carried along until they are many
+                who, place, left, rows, length = (x[alive] for x in (who, place, left, rows, length))
+                alive = np.ones(n, bool)
+            place, left = np.maximum(place - 1, 0), left - 1
+            symbol = queries[place].astype(np.int64) + 1
+            run = self.run_of[rows]
+            off = np.flatnonzero(alive & (self.symbol[run] != symbol))
+            if len(off):
+                run[off], rows[off], length[off] = self.anchored(
+                    words, symbol[off], run[off], place[off], length[off]
+                )
+            rows = np.where(length < 0, 0, self.maps_to[run] + rows - self.starts[run])
+            length = np.minimum(length + 1, LENGTH)
+            lengths[place[alive]] = length[alive]
+            if member is not None:
+                full = np.flatnonzero(alive & (length >= LENGTH))
+                first = self.earliest[np.searchsorted(self.classes, rows[full], "right") - 1]
+                own = self.begins[member[who[full]]] + place[full] - begins[who[full]]
+                lengths[place[full[first >= own]]] = 0
+
+
+def ranges_of(marks: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, offset, size)`` of the runs of true marks in texts that lie one after the other."""
+    edge = np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))
+    # A run ends with its text.
+    new = np.zeros(len(marks) + 1, bool)
+    new[begins] = True
+    cuts = np.flatnonzero(new[1:-1] & marks[1:] & marks[:-1]) + 1
+    begin = np.sort(np.append(np.flatnonzero(edge == 1), cuts))
+    stop = np.sort(np.append(np.flatnonzero(edge == -1), cuts))
+    owner = np.searchsorted(begins, begin, "right") - 1
+    return owner, begin - begins[owner], stop - begin
+
+
+def later_windows(
+    anchor: np.ndarray, loops: np.ndarray, texts: list[bytes], index_bytes: int
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(text, offset, windows)`` of all windows of ``texts`` that start earlier in texts of their anchor.
+
+    Texts are sorted by anchor and place; only one with ``loops`` may hold a window twice.
+    """
+    group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1]))
+    owner, offset, parts = np.arange(len(texts)), np.zeros(len(texts), np.int64), list(texts)
+    answers, take = [], 1
+    while True:
+        # What has no other text of its anchor beside it can only repeat itself.
+        whose = group[owner]
+        new_text = np.append(True, owner[1:] != owner[:-1])
+        first = np.append(True, whose[1:] != whose[:-1])
+        rank = np.cumsum(new_text)
+        rank -= np.maximum.accumulate(np.where(first, rank, 0))
+        several = np.bincount(whose, new_text, minlength=group[-1] + 1)[whose] > 1
+        keep = np.flatnonzero(several | loops[owner])
+        if not len(keep):
+            return answers
+        owner, offset, rank, whose = owner[keep], offset[keep], rank[keep], whose[keep]
+        parts = [parts[i] for i in keep]
+        # The first texts of each anchor, as far as they fit; of an anchor no text before an earlier one.
+        by_rank = np.argsort(rank, kind="stable")
+        filled = np.cumsum([len(parts[i]) for i in by_rank])
+        room = np.searchsorted(filled, index_bytes, "right")
+        last = max(1, min(np.searchsorted(rank[by_rank], take), room))
+        # All parts of a text go together.
+        while last < len(by_rank) and owner[by_rank[last]] == owner[by_rank[last - 1]]:
+            last += 1
+        inside = np.zeros(len(parts), bool)
+        inside[by_rank[:last]] = True
+        held = np.flatnonzero(inside)
+        index = RunIndex([parts[i] for i in held])
+        own = np.flatnonzero((rank[held] > 0) | loops[owner[held]])
+        for chosen, member in ((held[own], own), (np.flatnonzero(~inside), None)):
+            if not len(chosen):
+                continue
+            lengths, begins = index.stream([parts[i] for i in chosen], member, LENGTH)
+            text, at, size = ranges_of(lengths >= LENGTH, begins)
+            answers.append((owner[chosen[text]], offset[chosen[text]] + at, size))
+        if inside.all():
+            return answers
+        # Windows that found no match, with their bytes.
+        short = lengths < LENGTH
+        for i in range(1, LENGTH):
+            short[np.append(begins[1:], len(short)) - i] = False
+        text, at, size = ranges_of(short, begins)
+        parts = [parts[chosen[t]][a : a + n + LENGTH - 1] for t, a, n in zip(text, at, size)]
+        owner, offset = owner[chosen[text]], offset[chosen[text]] + at
+        if not parts:
+            return answers
+        take *= 4
 
 
 RANGES = "doc long, tie long, start long, windows long"
 
 
 def matched_windows(fetched: DataFrame) -> DataFrame:
-    """``RANGES`` of windows in ``fetched (anchor, doc, tie, start, text)`` that also start earlier."""
+    """``RANGES`` of windows in ``fetched (anchor, doc, tie, start, loops, text)`` that also start earlier."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "anchor", INDEX_BYTES, "text"):
-            doc, tie, start = (table.column(c).to_numpy() for c in ("doc", "tie", "start"))
-            texts = table.column("text").to_pylist()
-            index = RunIndex(texts)
-            marks = index.stream(texts)
-            edge = np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))
-            begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            owner = np.searchsorted(index.stops, begin)
-            first = np.append(0, index.stops[:-1] + 1)[owner]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc[owner]),
-                    pa.array(tie[owner]),
-                    pa.array(start[owner] + begin - first),
-                    pa.array(stop - begin),
-                ],
-                ["doc", "tie", "start", "windows"],
+            anchor, doc, tie, start, loops = (
+                table.column(c).to_numpy() for c in ("anchor", "doc", "tie", "start", "loops")
             )
+            texts = table.column("text").to_pylist()
+            for owner, offset, windows in later_windows(anchor, loops, texts, INDEX_BYTES):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[owner]), pa.array(tie[owner]), pa.array(start[owner] + offset), pa.array(windows)],
+                    ["doc", "tie", "start", "windows"],
+                )
 
     rows = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc", "tie", "start")
     return rows.mapInArrow(search, RANGES)
@@ -431,7 +588,7 @@ def fetch_texts(own: DataFrame, marked: DataFrame) -> DataFrame:
     wanted = (
         marked.filter("open")
         .groupBy("doc", "tie")
-        .agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
+        .agg(F.collect_list(F.struct("anchor", "start", "windows", "loops")).alias("places"))
     )
     # Repeated rows of one id and text are one document.
     joined = own.dropDuplicates(["doc", "tie"]) if own_repeats(own) else own
@@ -449,6 +606,7 @@ def fetch_texts(own: DataFrame, marked: DataFrame) -> DataFrame:
                         pa.array([doc] * len(places), pa.int64()),
                         pa.array([tie] * len(places), pa.int64()),
                         pa.array([p["start"] for p in places], pa.int64()),
+                        pa.array([p["loops"] for p in places], pa.bool_()),
                         pa.array(
                             [
                                 text[p["start"] : p["start"] + p["windows"] + LENGTH - 1]
@@ -457,11 +615,11 @@ def fetch_texts(own: DataFrame, marked: DataFrame) -> DataFrame:
                             pa.binary(),
                         ),
                     ],
-                    ["anchor", "doc", "tie", "start", "text"],
+                    ["anchor", "doc", "tie", "start", "loops", "text"],
                 )
 
     return joined.select("doc", "tie", "text", "places").mapInArrow(
-        fetch, "anchor long, doc long, tie long, start long, text binary"
+        fetch, "anchor long, doc long, tie long, start long, loops boolean, text binary"
     )
 
 
