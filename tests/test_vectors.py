@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -138,6 +139,30 @@ def test_words_are_rewritten_in_place(spark):
     assert TM.normal_text(df.limit(0), ["body"], lemmas=lemmas).count() == 0
 
 
+def test_words_are_rewritten_block_by_block(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(300)] + ["ünï", "x" * 400]
+    lemmas = {n: rng.choice([n.upper(), "", "two words"]) for n in names[::3]}
+    spaced = lambda: rng.choice(["", " "]) + rng.choice([" ", "  "]).join(rng.choices(names, k=rng.randint(0, 80)))
+    texts = [(i, rng.choice([None, "", " ", spaced(), spaced(), spaced()]), spaced()) for i in range(300)]
+    df = spark.createDataFrame(texts, "post_id bigint, title string, body string").repartition(3)
+    table = spark.createDataFrame(list(lemmas.items()), "term string, lemma string")
+
+    def brute(text):
+        return " ".join(lemmas.get(w, w) for w in (text or "").split(" ") if w)
+
+    expected = {(i, brute(title), brute(body)) for i, title, body in texts}
+    for size in (1, 2000, 1 << 22):
+        monkeypatch.setattr(TM, "BLOCK_BYTES", size, raising=False)
+        with scratch_space(spark) as folder:
+            got = TM.normal_text(df, ["title", "body"], stem=False, lemmas=table)
+            assert {tuple(r) for r in got.collect()} == expected
+            # What is staged has a row for each text, none for each word.
+            local = Path(folder.removeprefix("file:"))
+            staged = [p for p in local.glob("*/*") if p.parent.name != "checkpoints"]
+            assert sum(spark.read.parquet(str(p)).count() for p in staged) == len(texts)
+
+
 def test_scratch_space_leaves_nothing_behind(spark, tmp_path):
     with scratch_space(spark) as folder:
         model = fit_tag_vectors(small_corpus(spark), stem=False)
