@@ -32,26 +32,41 @@ CLOSING = r"[)\"'\]}>]*"
 #: What a type of word is stripped of at either end.
 NOT_IN_TYPE = r"[^\p{L}\p{N}]"
 
-# Pairs of pattern and replacement, in order; sentences are lines here.
+# Pairs of pattern and replacement, in order; sentences are lines here.  A pattern starts with what it sets
+# apart and looks around from there, so that most characters cost one comparison.
 SPLITS = (
-    (r"(^|[ \n(\[{<])\"", "$1 `` "),
-    (r"[,:](?![0-9])", " $0 "),
-    (r"\.\.\.", " ... "),
-    (r"[;@#$%&]", " $0 "),
-    (r"([^.\n])\.([\])}>\"']*) *(\n|\z)", "$1 . $2$3"),
-    (r"[?!]", " $0 "),
-    (r"([^'])'( |\n|\z)", "$1 ' $2"),
-    (r"[\]\[(){}<>]", " $0 "),
-    (r"--", " -- "),
+    (r"\"(?<![^ \n(\[{<]\")", " `` "),
+    (r"[,:](?![0-9])|\.\.\.|[;@#$%&?!]", " $0 "),
+    # The period that ends a sentence, a closing apostrophe, brackets, dashes.
+    (
+        r"\.(?<=[^.\n]\.)(?=[\])}>\"']* *(?:\n|\z))"
+        r"|'(?<=[^']')(?=[ \n]|\z|\.[\])}>\"']* *(?:\n|\z))|[\]\[(){}<>]|--",
+        " $0 ",
+    ),
     (r"\"", " '' "),
-    (r"([^' \n])('[sSmMdD])( |\n|\z)", "$1 $2$3"),
-    (r"([^' \n])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |\n|\z)", "$1 $2$3"),
+    # A short ending may stand behind a long one, as in "he'll's".
+    (
+        r"'(?<=[^' \n]')(?:[sSmMdD](?=[ \n]|\z)|(?:ll|LL|re|RE|ve|VE)(?=(?:'[sSmMdD])?(?:[ \n]|\z)))"
+        r"|n(?<=[^' \n]n)'t(?=(?:'[sSmMdD])?(?:[ \n]|\z))|N(?<=[^' \n]N)'T(?=(?:'[sSmMdD])?(?:[ \n]|\z))",
+        " $0",
+    ),
+    # The first part of a contraction that is a whole token; only ASCII letters have those in lower case.
+    (
+        "(?i)[%s](?<![^ \\n].)(?:%s)"
+        % (
+            "".join(sorted({word[0] for word in CONTRACTIONS})),
+            "|".join(
+                rf"(?<={word[0]}){word[1:n]}(?={word[n:]}(?![^ \n]))" for word, n in CONTRACTIONS.items()
+            ),
+        ),
+        "$0 ",
+    ),
 )
 
 
 def raw_words(text: Column) -> Column:
     """The words of a text between white space; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), "")
 
 
 def core(word: Column) -> Column:
@@ -76,6 +91,22 @@ def ends_open(word: Column) -> Column:
     return word.rlike(rf"[.?!]{CLOSING}\z")
 
 
+def open_runs(words: Column) -> Column:
+    """The words in runs, joined by spaces; all runs but the last end with a word that ``ends_open``."""
+    ends = F.regexp_replace(F.array_join(words, " "), rf"([.?!]{CLOSING}) ", "$1\n")
+    return F.split(ends, "\n")
+
+
+def open_pairs(runs: Column) -> Column:
+    """``(word, following)`` for each of ``open_runs``: its last word and the next run's first, null at the end."""
+
+    def pair(run: Column, behind: Column) -> Column:
+        word = F.substring_index(run, " ", -1).alias("word")
+        return F.struct(word, F.substring_index(behind, " ", 1).alias("following"))
+
+    return F.zip_with(runs, F.slice(runs, F.lit(2), F.size(runs)), pair)
+
+
 def _upper_first(word: Column) -> Column:
     return word.rlike(rf"^{NOT_IN_TYPE}*\p{{Lu}}")
 
@@ -102,17 +133,16 @@ def boundary(word: Column, following: Column, abbreviations: Column, starters: C
 def sentence_lines(words: Column, abbreviations: Column, starters: Column) -> Column:
     """The words joined by spaces, with a line feed behind each sentence but the last."""
 
-    def joined(listed: Column) -> Column:
-        def place(word: Column, i: Column) -> Column:
-            following = F.get(listed, i + 1)
-            ends = boundary(word, following, abbreviations, starters)
-            return F.when(following.isNull(), word).otherwise(
-                F.concat(word, F.when(ends, F.lit("\n")).otherwise(F.lit(" ")))
-            )
-
-        return F.array_join(F.transform(listed, place), "")
+    def place(run: Column, pair: Column) -> Column:
+        ends = boundary(pair["word"], pair["following"], abbreviations, starters)
+        return F.when(pair["following"].isNull(), run).otherwise(
+            F.concat(run, F.when(ends, F.lit("\n")).otherwise(F.lit(" ")))
+        )
 
-    return let(words, joined)
+    # Only where a sentence may end is anything decided.
+    return let(
+        open_runs(words), lambda runs: F.array_join(F.zip_with(runs, open_pairs(runs), place), "")
+    )
 
 
 def treebank_tokens(lines: Column) -> Column:
@@ -120,15 +150,4 @@ def treebank_tokens(lines: Column) -> Column:
     text = lines
     for pattern, replacement in SPLITS:
         text = F.regexp_replace(text, pattern, replacement)
-    first_part = F.create_map(*(F.lit(x) for pair in CONTRACTIONS.items() for x in pair))
-
-    def apart(token: Column) -> Column:
-        return let(
-            F.element_at(first_part, F.lower(token)),
-            lambda n: F.when(n.isNull(), F.array(token)).otherwise(
-                F.array(F.substring(token, F.lit(1), n), F.substring(token, n + 1, F.length(token)))
-            ),
-        )
-
-    parts = F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
-    return F.flatten(F.transform(parts, apart))
+    return F.array_remove(F.split(text, "[ \n]+"), "")

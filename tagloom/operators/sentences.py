@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tagloom.functions.binding import let
 from tagloom.functions.tokenizing import (
     CLOSING,
-    ends_open,
     has_period,
+    open_pairs,
+    open_runs,
     raw_words,
     sentence_lines,
     treebank_tokens,
@@ -89,13 +90,11 @@ def starter_scores(
     negative where it is rarer there than elsewhere.
     """
 
-    def ends(words: Column) -> Column:
-        pairs = F.transform(
-            words, lambda w, i: F.struct(w.alias("word"), F.get(words, i + 1).alias("following"))
-        )
-        return F.filter(pairs, lambda p: ends_open(p["word"]) & p["following"].isNotNull())
+    def ends(runs: Column) -> Column:
+        return F.filter(open_pairs(runs), lambda p: p["following"].isNotNull())
 
-    pairs = texts.select(F.explode(let(raw_words(F.col(column)), ends)).alias("p")).select("p.*")
+    runs = open_runs(raw_words(F.col(column)))
+    pairs = texts.select(F.explode(let(runs, ends)).alias("p")).select("p.*")
     pairs = pairs.groupBy("word", "following").agg(F.count("*").alias("n_start"))
     typed = pairs.select(
         F.col("word").rlike(rf"[?!]{CLOSING}\z").alias("sure"),
@@ -143,20 +142,17 @@ def word_tokens(
     A null text has no sentence and no tokens.  Equal texts are looked up once.
     """
 
-    def asked(words: Column) -> Column:
-        opens = F.transform(
-            words,
-            lambda w, i: F.when(
-                ends_open(w), F.array(word_type(w), F.coalesce(word_type(F.get(words, i + 1)), F.lit("")))
-            ).otherwise(F.array().cast("array<string>")),
+    def asked(runs: Column) -> Column:
+        ends = F.filter(open_pairs(runs), lambda p: p["following"].isNotNull())
+        return F.array_distinct(
+            F.flatten(F.transform(ends, lambda p: F.array(word_type(p["word"]), word_type(p["following"]))))
         )
-        return F.array_distinct(F.flatten(opens))
 
     keyed = texts.withColumn("_row", F.md5(F.coalesce(F.col(column), F.lit(""))))
     types = (
         keyed.select("_row", column)
         .dropDuplicates(["_row"])
-        .select("_row", F.explode(let(raw_words(F.col(column)), asked)).alias("type"))
+        .select("_row", F.explode(let(open_runs(raw_words(F.col(column))), asked)).alias("type"))
     )
     kinds = abbreviated.select("type", F.lit(True).alias("short")).unionByName(
         starters.select("type", F.lit(False).alias("short"))

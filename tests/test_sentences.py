@@ -10,6 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from tagloom.functions import tokenizing as TZ
 from tagloom.functions.tokenizing import CONTRACTIONS, raw_words, sentence_lines, treebank_tokens
 from tagloom.operators import sentences
 from tagloom.operators.lemmas import NOUN_RULES, lemmas_by_rules
@@ -138,6 +139,55 @@ def test_random_texts(spark):
         assert found[i][1] == [t for s in expected for t in brute_tokens(s)], text
 
 
+#: One pass for each rule, in order.
+PASSES = (
+    (r'(^|[ \n(\[{<])"', r"\1 `` "),
+    (r"[,:](?![0-9])", r" \g<0> "),
+    (r"\.\.\.", " ... "),
+    (r"[;@#$%&]", r" \g<0> "),
+    (r"([^.\n])\.([\])}>\"']*) *(\n|\Z)", r"\1 . \2\3"),
+    (r"[?!]", r" \g<0> "),
+    (r"([^'])'( |\n|\Z)", r"\1 ' \2"),
+    (r"[\]\[(){}<>]", r" \g<0> "),
+    (r"--", " -- "),
+    (r'"', " '' "),
+    (r"([^' \n])('[sSmMdD])( |\n|\Z)", r"\1 \2\3"),
+    (r"([^' \n])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |\n|\Z)", r"\1 \2\3"),
+)
+
+
+def test_joined_passes_give_what_single_ones_give(spark):
+    rng = random.Random(9)
+    parts = ["'", "'", "''", "s", "ll", "n't", "N'T", "'VE", "n", ".", ".", "...", "?", ")", "(", "]", '"', '"', " ", " ", "\n", "--", ",",
+             "1", "é", "\U0001f600", "cannot", "d'ye", "'tis", "GIMME", "more'n", "x'.", "'.)"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts += ["x'.", "he'll's", "a'.') ", "....''", "a' '", ".N'T's'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for i, tokens in df.select("id", treebank_tokens(F.col("text"))).collect():
+        out = texts[i]
+        for pattern, new in PASSES:
+            out = regex.sub(pattern, new, out)
+        cut = []
+        for t in regex.split("[ \n]+", out):
+            n = CONTRACTIONS.get(t.lower(), 0)
+            cut += [x for x in (t[:n], t[n:]) if x]
+        assert tokens == cut, texts[i]
+
+
+def test_work_is_done_at_possible_ends_only(spark):
+    texts = ["", None, " a  b ", "a. b?) c", "x... y.' z. ", "dr. who (ok.) . ?", "a.b c\u2028. d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    made = df.select("id", TZ.open_runs(raw_words(F.col("text"))).alias("runs")).collect()
+    for i, runs in made:
+        words = [w for w in regex.split(SPACE, texts[i] or "") if w]
+        ends = [j for j, w in enumerate(words[:-1]) if regex.search(rf"[.?!]{CLOSE}\Z", w)]
+        cuts = [0, *(j + 1 for j in ends), len(words)]
+        assert runs == [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])], texts[i]
+    # No function is called for every token.
+    tokens = df.select(treebank_tokens(F.col("text")))
+    assert "lambda" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+
+
 def corpus(rng):
     names = ["alpha", "beta", "gamma", "delta"]
     texts = []
