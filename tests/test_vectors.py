@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import terms as TM
 from tagloom.operators import vectors as V
+from tagloom.operators.posts import preprocess_text
 from tagloom.plans import (
     detect_communities,
     fit_post_vectors,
@@ -163,6 +164,20 @@ def test_words_are_rewritten_block_by_block(spark, monkeypatch):
             assert sum(spark.read.parquet(str(p)).count() for p in staged) == len(texts)
 
 
+def test_preprocessed_posts_make_no_row_for_every_word(spark):
+    text = "<p>The dogs &amp; the cats were running, all %d of them</p>"
+    rows = [(i, text % i if i % 9 else None, f"Cats {i}", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "post_id bigint, body string, title string, score int")
+    lemmas = spark.createDataFrame([("cat", "feline")], "term string, lemma string")
+    with scratch_space(spark) as folder:
+        got = preprocess_text(df, stem=True, lemmas=lemmas)
+        expected = {(i, f"dog feline run {i}", f"feline {i}", 1) for i in range(200) if i % 9}
+        assert got.columns == df.columns and {tuple(r) for r in got.collect()} == expected
+        local = Path(folder.removeprefix("file:"))
+        staged = [p for p in local.glob("*/*") if p.parent.name != "checkpoints"]
+        assert sum(spark.read.parquet(str(p)).count() for p in staged) == len(expected)
+
+
 def test_scratch_space_leaves_nothing_behind(spark, tmp_path):
     with scratch_space(spark) as folder:
         model = fit_tag_vectors(small_corpus(spark), stem=False)
