@@ -36,18 +36,18 @@ NOT_IN_TYPE = r"[^\p{L}\p{N}]"
 # apart and looks around from there, so that most characters cost one comparison.
 SPLITS = (
     (r"\"(?<![^ \n(\[{<]\")", " `` "),
-    (r"[,:](?![0-9])|\.\.\.|[;@#$%&?!]", " $0 "),
+    (r"[,:.;@#$%&?!](?:(?<=[;@#$%&?!])|(?<=[,:])(?![0-9])|(?<=\.)\.\.)", " $0 "),
     # The period that ends a sentence, a closing apostrophe, brackets, dashes.
     (
-        r"\.(?<=[^.\n]\.)(?=[\])}>\"']* *(?:\n|\z))"
-        r"|'(?<=[^']')(?=[ \n]|\z|\.[\])}>\"']* *(?:\n|\z))|[\]\[(){}<>]|--",
+        r"[.'\[\](){}<>-](?:(?<=[\[\](){}<>])|(?<=[^.\n]\.)(?=[\])}>\"']* *(?:\n|\z))"
+        r"|(?<=[^']')(?=[ \n]|\z|\.[\])}>\"']* *(?:\n|\z))|(?<=-)-)",
         " $0 ",
     ),
     (r"\"", " '' "),
     # A short ending may stand behind a long one, as in "he'll's".
     (
-        r"'(?<=[^' \n]')(?:[sSmMdD](?=[ \n]|\z)|(?:ll|LL|re|RE|ve|VE)(?=(?:'[sSmMdD])?(?:[ \n]|\z)))"
-        r"|n(?<=[^' \n]n)'t(?=(?:'[sSmMdD])?(?:[ \n]|\z))|N(?<=[^' \n]N)'T(?=(?:'[sSmMdD])?(?:[ \n]|\z))",
+        r"['nN](?<=[^' \n].)(?:(?<=')[sSmMdD](?=[ \n]|\z)"
+        r"|(?:(?<=')(?:ll|LL|re|RE|ve|VE)|(?<=n)'t|(?<=N)'T)(?=(?:'[sSmMdD])?(?:[ \n]|\z)))",
         " $0",
     ),
     # The first part of a contraction that is a whole token; only ASCII letters have those in lower case.

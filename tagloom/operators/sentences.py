@@ -12,6 +12,12 @@ type is broadcast or salted.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +35,33 @@ from tagloom.functions.tokenizing import (
 from tagloom.operators.joins import lookup_join
 from tagloom.sources.staging import stage
 
+# The counting function travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_ABBREVIATION = 0.3
 MIN_STARTER = 30.0
 #: How often an abbreviation's type has its period.
 WITH_PERIOD = 0.99
 
 
+def _word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """``(word, n)`` of ``raw_words``, counted batch by batch before they are rows, then over all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # What ASCII separates beyond its white space is made a space first.
+            text = pc.replace_substring_regex(batch.column(0), pattern=r"[\x1c-\x1f]", replacement=" ")
+            counts = pc.ascii_split_whitespace(text).flatten().value_counts()
+            made = pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"])
+            yield made.filter(pc.not_equal(made.column(0), ""))
+
+    counts = texts.select(column).mapInArrow(count, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def type_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """``(type, n, n_period)`` of all types with a letter: their uses, and those with one period behind."""
-    words = texts.select(F.explode(raw_words(F.col(column))).alias("word"))
-    distinct = words.groupBy("word").agg(F.count("*").alias("n"))
+    distinct = _word_counts(texts, column)
     typed = distinct.select(
         word_type(F.col("word")).alias("type"),
         F.col("n"),
